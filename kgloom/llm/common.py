@@ -61,6 +61,27 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
 
+class Memo(dict):
+    """A bounded cache: values come from make(key); once ``most`` entries are held they become the old generation, from
+    which a later use takes them over. Keys longer than ``longest`` are not kept."""
+
+    def __init__(self, make: Callable, most: int = 300_000, longest: int = 64, known: dict | None = None):
+        super().__init__(known or {})
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def map_rows(df: DataFrame, schema: str, columns: pa.Schema, make: Callable[[], Callable[[list[list]], list]]) -> DataFrame:
     """Arrow map: make() runs once per task and returns a function from the input columns (lists) to the output columns."""
 
