@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import Memo, checkpoint, documents, id_and_text, text_of
+from kgloom.llm.common import WORD, Memo, documents, id_and_text, stored, text_of
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -199,7 +199,7 @@ def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             spans = []
             for h, m, kept, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = sorted((x["at"], x["start"], x["stop"], x["first_id"]) for x in found)
+                found = sorted({(x["at"], x["start"], x["stop"], x["first_id"]) for x in found})
                 current = None
                 for at, start, stop, first_id in found:
                     if current and at <= current[3] + current[4]:
@@ -223,20 +223,21 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 32, si
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = id_and_text(docs, id_col, text_col).withColumns({"h": F.xxhash64("text"), "m": F.hash("text")})
-    ids = checkpoint(rows.select("doc_id", "h", "m", F.length("text").alias("n_chars")).distinct())
-    classes = ids.groupBy("h", "m").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id"), F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"))
-    classes = checkpoint(classes)
-    shared = shared_suffixes(suffixes(rows, min_words, window, size), parts).groupBy("h", "m").agg(F.collect_set("at").alias("ats"))
+    ids = stored(rows.select("doc_id", "h", "m", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(WORD)).alias("n_words")).distinct(), "ids")
+    least = F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id")
+    classes = ids.groupBy("h", "m").agg(least, F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"), F.max("n_words").alias("n_words"))
+    classes = stored(classes, "classes")
+    found = stored(suffixes(rows, min_words, window, size), "suffixes")  # range partitioning reads its input twice
+    shared = shared_suffixes(found, parts).groupBy("h", "m").agg(F.collect_set("at").alias("ats"))
     chosen = shared.join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"])
     keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    held = checkpoint(windows(keyed.join(chosen, ["doc_id", "h", "m"]).dropDuplicates(["doc_id", "h", "m"]), min_words, window, size))
+    held = stored(windows(keyed.join(chosen, ["doc_id", "h", "m"]), min_words, window, size), "windows")
     place = F.struct("doc_id", "h", "m", "at")
-    firsts = held.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
+    firsts = held.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "first")
     repeated = held.join(firsts, "w").select("h", "m", "at", "start", "stop", F.col("first.doc_id").alias("first_id"), (place == F.col("first")).alias("kept"))
     own = _spans(repeated, min_words).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"]).select("doc_id", "start", "stop", "n_words", "kept", "first_id")
-    # Exact copies: the whole text, if long enough. Only classes of several documents need their texts' words counted.
-    copied = classes.where("copies > 1")
-    long_enough = keyed.join(copied.select(F.col("first_id").alias("doc_id"), "h", "m", "first_id", F.col("n_chars").alias("stop")), ["doc_id", "h", "m"]).select("h", "m", "first_id", "stop", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words")).where(F.col("n_words") >= min_words).dropDuplicates(["h", "m"])
+    # Exact copies: the whole text, if long enough.
+    long_enough = classes.where((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select("h", "m", "first_id", F.col("n_chars").alias("stop"), "n_words")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     copies = ids.select(key.alias("doc_id"), "h", "m").join(long_enough, ["h", "m"]).select("doc_id", F.lit(0).alias("start"), "stop", "n_words", (F.col("doc_id") == F.col("first_id")).alias("kept"), "first_id", F.lit(True).alias("whole"))
     own = own.withColumn("whole", F.lit(False))
