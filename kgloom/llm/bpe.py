@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm.common import documents, id_and_text, map_rows
+from kgloom.llm.common import Memo, documents, id_and_text, map_rows
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,8 +37,14 @@ class Coder:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.bytes_of = {i: token for token, i in ranks.items()}
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            ends.setdefault(token[-2:], {1}).add(len(token))
+        self.sizes = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in ends.items()}  # lengths of the tokens with this end
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}  # what fits() said, a bounded cache
+        self.most_pairs = 400_000
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[i] = (i, i)
@@ -69,10 +76,19 @@ class Coder:
 
     def last_at(self, data: bytes, end: int, last: list[int]) -> int:
         """The last token of data[:end], from the last tokens of shorter prefixes."""
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(data[start:end])
-            if token is not None and (start == 0 or self.fits(last[start], token)):
-                return token
+        ranks, pairs = self.ranks.get, self.pairs
+        for size in self.sizes.get(data[end - 2 : end] if end > 1 else data[:1], (1,)):
+            if size <= end and (token := ranks(data[end - size : end])) is not None:
+                if size == end:
+                    return token
+                pair = (last[end - size], token)
+                fit = pairs.get(pair)
+                if fit is None:
+                    if len(pairs) >= self.most_pairs:
+                        pairs.clear()
+                    fit = pairs[pair] = self.fits(*pair)
+                if fit:
+                    return token
         raise ValueError("the ranks do not cover every byte")
 
     def extend(self, data: bytes, last: list[int] | None = None) -> list[int]:
@@ -116,19 +132,10 @@ class TextCoder:
     def __init__(self, ranks_file: str, pattern: str, most: int = 300_000):
         import regex
 
-        self.coder = coder = Coder(read_ranks(ranks_file))
+        self.coder = Coder(read_ranks(ranks_file))
         self.find = regex.compile(pattern).findall
-
-        class Cache(dict):
-            def __missing__(self, match: str) -> list[int]:
-                ids = coder.encode(match.encode())
-                if len(match) <= 64:
-                    if len(self) >= most:
-                        self.clear()
-                    self[match] = ids
-                return ids
-
-        self.cache = Cache()
+        self.cache = Memo(lambda match: self.coder.encode(match.encode()), most)
+        self.shown = {i: str(i) for i in self.coder.bytes_of}
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.cache.__getitem__, self.find(text))))
@@ -137,17 +144,23 @@ class TextCoder:
         return self.coder.decode(ids)
 
 
+@lru_cache(maxsize=2)
+def text_coder(ranks_file: str, pattern: str) -> TextCoder:
+    """One for all tasks of a worker, with its cache."""
+    return TextCoder(ranks_file, pattern)
+
+
 def coders(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, the ids and the decoded text of every document."""
 
     def make():
-        text_coder = TextCoder(ranks_file, pattern)
-        shown = {i: str(i) for i in text_coder.coder.bytes_of}
+        coder = text_coder(ranks_file, pattern)
+        shown = coder.shown
 
         def each(columns: list[list]) -> list:
             doc_ids, texts = columns
-            ids = [text_coder.encode(t) for t in texts]
-            back = [text_coder.decode(x) for x in ids]
+            ids = [coder.encode(t) for t in texts]
+            back = [coder.decode(x) for x in ids]
             out = [doc_ids, [len(x) for x in ids], [hashlib.sha256(",".join(map(shown.__getitem__, x)).encode()).hexdigest() for x in ids], [hashlib.sha256(b).hexdigest() for b in back]]
             return [*out, ids, [b.decode() for b in back]] if with_ids else out
 
@@ -165,5 +178,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coders(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as ids, with the hash of what they decode to."""
+    import public_tokenizers
+
+    return coders(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).drop("decoded")
+
+
 QUERIES = {"op10_bpe": op10_bpe}
 SQL: dict[str, str] = {}
