@@ -57,6 +57,22 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def range_part(rows: DataFrame, id_col: str, parts: int) -> Column:
+    """The number of the id range, 0 to parts - 1 in ascending order (nulls first), that a row of rows belongs to.
+
+    The cuts are approximate quantiles of the id column alone, so nothing else is read or computed to find them.
+    """
+    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
+    cuts = rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("c")).head()[0] if parts > 1 else []
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return F.lit(0)
+    held = F.array(*(F.lit(c) for c in cuts))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    step = lambda at, n: F.when((at + n <= len(cuts)) & (F.get(held, at + n - 1) <= key), at + n).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)  # binary search over the cuts
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 

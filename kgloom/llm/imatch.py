@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, id_and_text
+from kgloom.llm.common import documents, id_and_text, range_part
 
 #: A subset of density d holds one in 2^d terms of the lexicon; each density has EACH subsets.
 LEVELS, EACH = (1, 3, 5, 7, 9, 11), 12
@@ -151,17 +151,7 @@ def successors(rows: DataFrame, parts: int) -> DataFrame:
     Columns: part, extra (true for the copied row), doc_id, text.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    cuts = rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("c")).head()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    part = F.lit(0)
-    step = 1 << max(0, len(cuts).bit_length() - 1)
-    if cuts:  # binary search over the cuts, inside the JVM
-        held = F.array(*(F.lit(c) for c in cuts))
-        while step:
-            nxt = part + F.lit(step)
-            part = F.when((nxt <= len(cuts)) & (F.get(held, nxt - 1) <= key), nxt).otherwise(part)
-            step >>= 1
-    keyed = rows.withColumn("key", key).withColumn("part", part.cast("int"))
+    keyed = rows.withColumn("key", key).withColumn("part", range_part(rows, "doc_id", parts))
     heads = sorted(tuple(r) for r in keyed.groupBy("part").agg(F.min("key")).collect())  # one row for each range
     copies = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}  # the first row's copy goes round to the last range
     if not copies:

@@ -26,50 +26,101 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import Memo, documents, id_and_text, shared_dir
+from kgloom.llm.common import documents, id_and_text, range_part, shared_dir
 
 MAGIC = b"KGIDS\x00\x00\x01"
 NULL_ID = -(1 << 63)
 
 
+class Generations:
+    """A bounded map: beyond ``most`` entries all become the old generation, from which those in use are taken over."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        left = {k for k in keys if k not in now}
+        again = {k for k in left if k in old} if old else set()
+        now.update((k, old[k]) for k in again)
+        return left - again
+
+
 class WordEncoder:
     """A tokenizers file of the kind lower case, words by pattern, BPE with word ends: words are encoded once and cached.
 
-    ``encode`` gives the bytes of the ids. Texts that the shortcut could treat differently (special strings, a capital
+    ``encode_all`` gives the bytes of the ids of each text. New words of a group of texts go to the library together, already
+    split; the ids that end a word part them again. Texts that this could treat differently (special strings, a capital
     sigma, unusual white space) go to the library whole.
     """
 
     def __init__(self, path: str, most: int = 300_000):
+        import numpy as np
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        self.quick = steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        end = spec["model"].get("end_of_word_suffix")
+        self.quick = bool(end) and steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"]
         self.find = regex.compile(split[0]["pattern"]["Regex"] if self.quick else r"\S+").findall
-        self.odd = regex.compile("[Σ\x0b\x0c\x1c-\x1f\x85​᠎]|" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])).search
-        self.words = Memo(self._library, most)
-        self.chunks = Memo(lambda c: b"".join(map(self.words.__getitem__, self.find(c))), most)
+        self.odd = regex.compile("[Σ\x0b\x0c\x1c-\x1f\x85\u200b\u180e]|" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])).search
+        self.common = regex.compile("[!-~¡-ɏЀ-ӿ‐-‧一-龥]*").fullmatch
+        self.plain = Tokenizer(self.tokenizer.model)  # for words that are split and normalised already
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith(end or "\0") for i in range(size)])
+        self.words, self.chunks = Generations(most), Generations(most)
 
     def _library(self, text: str) -> bytes:
         import numpy as np
 
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode the chunks (texts between white space) that are not known."""
+        import numpy as np
+
+        parts = {}
+        for c in self.chunks.missing(chunks):
+            if self.common(c):
+                parts[c] = self.find(c)
+            else:  # the library's character classes may be of another Unicode version
+                self.chunks.now[c] = self._library(c)
+        new = list(self.words.missing({w for ws in parts.values() for w in ws}))
+        if new:
+            ids = np.array(self.plain.encode(new, is_pretokenized=True, add_special_tokens=False).ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(new):
+                data, width, at = ids.tobytes(), int(self.kind[2:]), 0
+                for word, stop in zip(new, (stops * width).tolist(), strict=True):
+                    self.words.now[word] = data[at:stop]
+                    at = stop
+            else:
+                self.words.now.update((w, self._library(w)) for w in new)
+        known = self.words.now.__getitem__
+        self.chunks.now.update((c, b"".join(map(known, ws))) for c, ws in parts.items())
+
+    def encode_all(self, texts: list[str], group: int = 128) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), group):
+            some = [None if not self.quick or self.odd(t) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts[at : at + group]]
+            self._learn(set().union(*(x for x in some if x)))
+            known = self.chunks.now.__getitem__
+            out += [self._library(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts[at : at + group], some, strict=True)]
+        return out
+
     def encode(self, text: str) -> bytes:
-        if not self.quick or self.odd(text):
-            return self._library(text)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -213,14 +264,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1,
         encoder = word_encoder(tokenizer_file)
         end, pack = np.array([end_id], encoder.kind).tobytes(), ZstdCompressor(level=1).compress
         for batch in batches:
-            packed = [pack(encoder.encode(t) + end) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
+            packed = [pack(ids + end) for ids in encoder.encode_all(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from zstandard import ZstdDecompressor
 
-        unpack, part = ZstdDecompressor().decompress, TaskContext.get().partitionId()
+        unpack, part = ZstdDecompressor().decompress, None
         system, folder = fs.FileSystem.from_uri(path)
         system.create_dir(folder, recursive=True)
         ids, repeats, payloads, held, seq, kind = [], [], [], 0, 0, word_encoder(tokenizer_file).kind
@@ -238,7 +289,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1,
         types = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
         last, repeat = None, 0
         for batch in batches:
-            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for own, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part:
+                    if ids:
+                        yield close()
+                    ids, repeats, payloads, held, seq, part = [], [], [], 0, 0, own
                 doc_id = NULL_ID if doc_id is None else doc_id
                 repeat = repeat + 1 if doc_id == last else 0
                 last = doc_id
@@ -252,8 +307,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1,
         if ids:
             yield close()
 
-    encoded = id_and_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, ids binary")
-    sorted_ = encoded.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "ids")
+    rows, parts = id_and_text(docs, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = rows.select(range_part(rows, "doc_id", parts).alias("part"), "doc_id", "text").mapInArrow(encode, "part int, doc_id long, ids binary")
+    sorted_ = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     sorted_.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     shards = sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: (r["part"], r["seq"]))  # a row for each shard
     start, rows = 0, []
