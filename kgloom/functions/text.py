@@ -96,13 +96,18 @@ def verb_forms(verb: Column) -> Column:
     return F.array(verb, past, F.concat(F.when(silent & (F.length(verb) > 2), _less(verb, 1)).otherwise(verb), F.lit("ing")))
 
 
+def _pairs(words: Column, preposition: str) -> Column:
+    others = F.filter(words, lambda w: ~w.isin(preposition, "of", "to"))
+    return F.when(F.array_contains(words, preposition), F.transform(others, lambda w: F.concat(F.lit(preposition + " "), w))).otherwise(F.array().cast("array<string>"))
+
+
 def phrase_forms(words: Column) -> Column:
     """the phrase, its words, forms of its verb, and pairs of a preposition with each other word, in order of first occurrence."""
     none, n = F.array().cast("array<string>"), F.size(words)
     kept = F.filter(words, lambda w, i: ~w.isin(*INNER) | (i == 0) | (i == n - 1))
     first = F.get(words, F.lit(0))
     forms = F.when((F.length(first) > 3) & (verb_base(first) != first), verb_forms(verb_base(first))).otherwise(none)
-    pairs = [F.when(F.array_contains(words, p), F.transform(F.filter(words, lambda w, p=p: ~w.isin(p, "of", "to")), lambda w, p=p: F.concat(F.lit(p + " "), w))).otherwise(none) for p in PAIRED]
+    pairs = [_pairs(words, p) for p in PAIRED]
     return F.array_distinct(F.concat(F.array(F.array_join(words, " ")), kept, forms, *pairs))
 
 
