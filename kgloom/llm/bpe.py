@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm.common import Memo, documents, id_and_text, map_rows
+from kgloom.llm.common import Memo, documents, id_and_text, kept, map_rows
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +43,7 @@ class Coder:
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}  # what fits() said, a bounded cache
-        self.most_pairs = 400_000
+        self.most_pairs = 200_000
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[i] = (i, i)
@@ -129,7 +128,7 @@ class Coder:
 class TextCoder:
     """Splits texts by a pattern and encodes each match on its own; matches are cached."""
 
-    def __init__(self, ranks_file: str, pattern: str, most: int = 300_000):
+    def __init__(self, ranks_file: str, pattern: str, most: int = 200_000):
         import regex
 
         self.coder = Coder(read_ranks(ranks_file))
@@ -144,10 +143,9 @@ class TextCoder:
         return self.coder.decode(ids)
 
 
-@lru_cache(maxsize=2)
 def text_coder(ranks_file: str, pattern: str) -> TextCoder:
     """One for all tasks of a worker, with its cache."""
-    return TextCoder(ranks_file, pattern)
+    return kept(("bpe", ranks_file, pattern), lambda: TextCoder(ranks_file, pattern))
 
 
 def coders(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

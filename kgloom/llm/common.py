@@ -73,7 +73,29 @@ def range_part(rows: DataFrame, id_col: str, parts: int) -> Column:
     return F.aggregate(steps, F.lit(0), step)  # binary search over the cuts
 
 
+def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are wide: hold Arrow batches to this many rows, so that a Python worker's memory stays bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """In a Python worker: what make() gives, for all tasks, until another operator keeps something there.
+
+    So the caches of one operator at a time take memory.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    narrow_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
 

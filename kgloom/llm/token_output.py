@@ -23,13 +23,12 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, id_and_text, range_part, shared_dir
+from kgloom.llm.common import documents, id_and_text, kept, range_part, shared_dir
 
 MAGIC = b"KGIDS\x00\x00\x01"
 NULL_ID = -(1 << 63)
@@ -74,12 +73,12 @@ class WordEncoder:
         end = spec["model"].get("end_of_word_suffix")
         self.quick = bool(end) and steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"]
         self.find = regex.compile(split[0]["pattern"]["Regex"] if self.quick else r"\S+").findall
-        self.odd = regex.compile("[Σ\x0b\x0c\x1c-\x1f\x85\u200b\u180e]|" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"])).search
+        self.odd = ["Σ", "\x0b", "\x0c", *map(chr, range(28, 32)), "\x85", "\u200b", "\u180e", *(t["content"] for t in spec["added_tokens"])]
         self.common = regex.compile("[!-~¡-ɏЀ-ӿ‐-‧一-龥]*").fullmatch
         self.plain = Tokenizer(self.tokenizer.model)  # for words that are split and normalised already
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith(end or "\0") for i in range(size)])
-        self.words, self.chunks = Generations(most), Generations(most)
+        self.words, self.chunks = Generations(most), Generations(most * 3 // 2)
 
     def _library(self, text: str) -> bytes:
         import numpy as np
@@ -92,7 +91,9 @@ class WordEncoder:
 
         parts = {}
         for c in self.chunks.missing(chunks):
-            if self.common(c):
+            if c.isascii() and c.isalpha():
+                parts[c] = (c,)
+            elif self.common(c):
                 parts[c] = self.find(c)
             else:  # the library's character classes may be of another Unicode version
                 self.chunks.now[c] = self._library(c)
@@ -110,10 +111,10 @@ class WordEncoder:
         known = self.words.now.__getitem__
         self.chunks.now.update((c, b"".join(map(known, ws))) for c, ws in parts.items())
 
-    def encode_all(self, texts: list[str], group: int = 128) -> list[bytes]:
+    def encode_all(self, texts: list[str], group: int = 512) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), group):
-            some = [None if not self.quick or self.odd(t) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts[at : at + group]]
+            some = [None if not self.quick or any(x in t for x in self.odd) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts[at : at + group]]
             self._learn(set().union(*(x for x in some if x)))
             known = self.chunks.now.__getitem__
             out += [self._library(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts[at : at + group], some, strict=True)]
@@ -123,10 +124,9 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker, with its caches."""
-    return WordEncoder(path)
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def mix(x, seed: int):
