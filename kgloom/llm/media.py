@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, id_and_text, map_rows, shared_dir, text_of
+from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows, narrow_batches, shared_dir, text_of
 
 WIDTH = 64
 #: Elements whose text is not shown, elements that end a text block, and elements that name media.
@@ -101,6 +101,7 @@ def parse_items(text: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, items): the interleaved sequence of every row."""
+    narrow_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), text_of(html_col).alias("html"))
     make = lambda: lambda columns: [columns[0], [parse_items(t) for t in columns[1]]]
     return map_rows(rows, f"id long, items array<{ITEM}>", pa.schema([("id", pa.int64()), ("items", pa.list_(ITEM_TYPE))]), make)
@@ -204,7 +205,8 @@ def document_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """Store every text as an image, referenced from a page of its own; resolve the references; a row for each document."""
     stored = store_documents(docs, path, id_col, text_col)
     refs = references(sequences(stored, "doc_id", "html"))
-    joined = refs.join(payload_features(stored), "digest")
+    features = checkpoint(payload_features(stored))  # apart from the join, so that a payload of very many documents can be split there
+    joined = refs.join(features, "digest")
     return joined.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 

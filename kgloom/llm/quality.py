@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import checkpoint, documents, table, text_of
+from kgloom.llm.common import checkpoint, documents, narrow_batches, table, text_of
 
 STATS = ("log_words", "log_chars", "word_chars", "upper", "digits", "symbols", "bars", "stops", "high", "lines", "line_words", "same_lines", "same_words", "same_triples", "top_word", "short_words", "long_words", "upper_words", "symbol_words", "packed")
 KIND = pa.struct([(n, pa.float64()) for n in STATS])
@@ -125,19 +125,24 @@ def lasso_logistic(a, y, penalty: float, start=None, rounds: int = 400):
     """Weights (the last one a free constant) by accelerated proximal gradient steps."""
     import numpy as np
 
-    a = np.hstack([a, np.ones((len(a), 1))])
+    a = np.ascontiguousarray(np.hstack([a, np.ones((len(a), 1))]))
+    # einsum stays on one thread: BLAS threads wait for one another for most of their time on matrices of this size
+    out, back = (lambda x: np.einsum("ij,j->i", a, x)), (lambda x: np.einsum("ij,i->j", a, x))
     w = np.zeros(a.shape[1]) if start is None else start.copy()
     v, t = w.copy(), 1.0
     probe = np.ones(a.shape[1])
     for _ in range(12):  # the largest eigenvalue, for the step
-        probe = a.T @ (a @ probe)
+        probe = back(out(probe))
         probe /= np.linalg.norm(probe) or 1.0
-    size = 4 * len(a) / max(1e-9, float(np.linalg.norm(a.T @ (a @ probe)))) / 1.05
+    size = 4 * len(a) / max(1e-9, float(np.linalg.norm(back(out(probe))))) / 1.05
     for _ in range(rounds):
-        new = v - size * (a.T @ (1 / (1 + np.exp(-np.clip(a @ v, -40, 40))) - y)) / len(a)
+        new = v - size * back(1 / (1 + np.exp(-np.clip(out(v), -40, 40))) - y) / len(a)
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - size * penalty, 0)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        moved = float(np.abs(new - w).max())
         v, w = new + (before - 1) / t * (new - w), new
+        if moved < 1e-4:
+            break
     return w
 
 
@@ -162,12 +167,12 @@ class Rules:
         rules_kept = rules_kept[np.sort(first)]
         share = hits[:, rules_kept].mean(0)
         scale = np.sqrt(share * (1 - share))
-        a = np.hstack([hits[:, rules_kept] / scale, 0.4 * (np.clip(x, low, high)[:, used] - low[used]) / spread[used]])
+        a = np.hstack([hits[:, rules_kept].astype(float) / scale, 0.4 * (np.clip(x, low, high)[:, used] - low[used]) / spread[used]])
         check = np.arange(len(y)) % 5 == 4
         best, start, found = None, None, None
         for penalty in (0.03, 0.015, 0.008, 0.004, 0.002, 0.001):
             start = lasso_logistic(a[~check], y[~check], penalty, start)
-            z = np.clip(a[check] @ start[:-1] + start[-1], -40, 40)
+            z = np.clip(np.einsum("ij,j->i", a[check], start[:-1]) + start[-1], -40, 40)
             loss = float(np.mean(np.log1p(np.exp(-z * (2 * y[check] - 1)))))
             if best is None or loss < best - 1e-4:
                 best, found = loss, penalty
@@ -219,6 +224,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = 8000, label_col:
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    narrow_batches(docs.sparkSession)
     return checkpoint(docs.select(F.col(id_col).cast("long").alias("doc_id"), stats_column(text_of(text_col)).alias("stats")))
 
 

@@ -32,11 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import WORD, Memo, documents, id_and_text, stored, text_of
+from kgloom.llm.common import WORD, Memo, documents, id_and_text, kept, stored, text_of
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_known = Memo(lambda w: __import__("xxhash").xxh64_intdigest(w, 1), 300_000)
+
+
+def _word_hashes() -> Memo:
+    """The worker's cache of word hashes."""
+    from xxhash import xxh64_intdigest
+
+    return kept("word hashes", lambda: Memo(lambda w: xxh64_intdigest(w, 1), 200_000))
 
 
 def mixed(x):
@@ -65,7 +71,7 @@ class Words:
 
         words = text.encode().split()
         self.n = len(words)
-        hashes = np.fromiter(map(_known.__getitem__, words), np.uint64, self.n)
+        hashes = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, self.n)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(hashes * _powers(BASE, self.n), out=self.sums[1:])
         self.down = _powers(INVERSE, self.n + 1)
@@ -234,6 +240,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 32, si
     held = stored(windows(keyed.join(chosen, ["doc_id", "h", "m"]), min_words, window, size), "windows")
     place = F.struct("doc_id", "h", "m", "at")
     firsts = held.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "first")
+    firsts = stored(firsts, "firsts")  # apart from the join, so that a window of very many documents can be split there
     repeated = held.join(firsts, "w").select("h", "m", "at", "start", "stop", F.col("first.doc_id").alias("first_id"), (place == F.col("first")).alias("kept"))
     own = _spans(repeated, min_words).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"]).select("doc_id", "start", "stop", "n_words", "kept", "first_id")
     # Exact copies: the whole text, if long enough.
