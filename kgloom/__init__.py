@@ -1 +1,10 @@
 """kgloom: knowledge-graph question answering and corpus preparation on Spark."""
+
+from kgloom.graph import KnowledgeGraph
+from kgloom.model import Config, GraphError, SearchMode
+from kgloom.operators.vectors import HashingEncoder, ModelEncoder
+from kgloom.pipeline import Engine, LanguageModel, Result, ScriptedModel
+from kgloom.plans.sparql import SparqlSyntaxError, check_syntax, compile_sparql, execute, execute_or_empty, run_sparql
+from kgloom.sources.rdf import read_ntriples, read_parquet, write_ntriples, write_parquet
+
+__all__ = ["Config", "Engine", "GraphError", "HashingEncoder", "KnowledgeGraph", "LanguageModel", "ModelEncoder", "Result", "ScriptedModel", "SearchMode", "SparqlSyntaxError", "check_syntax", "compile_sparql", "execute", "execute_or_empty", "read_ntriples", "read_parquet", "run_sparql", "write_ntriples", "write_parquet"]

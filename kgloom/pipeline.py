@@ -197,6 +197,43 @@ class Engine:
         except (ValueError, KeyError, TypeError) as e:
             raise AnswerGenerationError(f"the reply is no answer: {e}") from e
 
+    def judge(self, question: str, query_type: str, golden: str, generated: str, golden_rows: list[dict], generated_rows: list[dict], shown: int = 5) -> dict:
+        """The model's verdict on one pair of queries: correct, failure_code, reason; an unreadable reply is not correct."""
+        try:
+            reply = json.loads(strip_fences(self.model("judge", question=question, query_type=query_type, golden=golden, generated=generated, golden_rows=json.dumps(golden_rows[:shown], ensure_ascii=False), generated_rows=json.dumps(generated_rows[:shown], ensure_ascii=False))))
+            return {"correct": bool(reply["correct"]), "failure_code": reply.get("failure_code"), "reason": reply.get("reason")}
+        except (ValueError, KeyError, TypeError) as e:
+            return {"correct": False, "failure_code": "JUDGE_ERROR", "reason": str(e)}
+
+    def evaluate(self, questions: DataFrame, generated: str = "generated_sparql", judged: bool = True) -> DataFrame:
+        """E7 to E10 for questions (id, query_type, question, golden_sparql, generated): state, counts, F1 and verdict of each.
+
+        Queries run one by one, each with the configured timeout; a question without a generated query counts as failed.
+        correct_0 is correct and wrong_0 is not; the judge decides on the others.
+        """
+        from kgloom.functions.text import question_text
+        from kgloom.operators.evaluate import compare_rows, needs_judge
+
+        found, golden_rows, generated_rows, status = {}, [], [], []
+        for r in questions.select("id", "query_type", question_text(F.col("question")).alias("text"), "golden_sparql", generated).toLocalIterator():
+            runs = [execute(q, self.kg, self.config.execution_timeout) if q else (False, [], "no query") for q in (r["golden_sparql"], r[generated])]
+            found[r["id"]] = (r, runs)
+            status.append((r["id"], runs[0][0], runs[1][0]))
+            for rows, run in ((golden_rows, runs[0]), (generated_rows, runs[1])):
+                rows += [(r["id"], "\x01".join(str(x[k]).strip() for k in sorted(x))) for x in run[1]]
+        make = lambda rows: self.spark.createDataFrame(rows, "question_id string, row string")
+        states = compare_rows(make(golden_rows), make(generated_rows), self.spark.createDataFrame(status, "question_id string, golden_ok boolean, generated_ok boolean"))
+        verdicts = []
+        if judged:
+            for s in states.where(needs_judge(F.col("state"))).select("question_id").toLocalIterator():
+                r, runs = found[s["question_id"]]
+                v = self.judge(r["text"], r["query_type"], r["golden_sparql"], r[generated], runs[0][1], runs[1][1])
+                verdicts.append((s["question_id"], v["correct"], v["failure_code"]))
+        judged_rows = self.spark.createDataFrame(verdicts, "question_id string, judged boolean, failure_code string")
+        types = self.spark.createDataFrame([(q, r["query_type"]) for q, (r, _) in found.items()], "question_id string, query_type string")
+        correct = F.when(F.col("state") == "correct_0", True).when(F.col("state") == "wrong_0", False).otherwise(F.col("judged"))
+        return states.join(types, "question_id").join(judged_rows, "question_id", "left").withColumn("correct", correct).drop("judged")
+
     def baseline(self, questions: dict[str, str], level: int, schema: str = "", golden: dict[str, list[str]] | None = None) -> list[dict]:
         """Prompt-only generation: 0 with schema, 1 with nothing, 2 with schema and golden entities, 3 with retrieval."""
         out = []
