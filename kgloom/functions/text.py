@@ -224,6 +224,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def unit(a: Column) -> Column:
+    """A vector of length 1 in double precision; null if its norm is zero."""
+    return _scaled(a, F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)))
+
+
+def _scaled(a: Column, norm: Column) -> Column:
+    held = F.array(F.struct(a.alias("a"), norm.alias("n")))  # the norm is computed once, not for each element
+    return F.get(F.transform(held, lambda h: F.when(h["n"].isNotNull(), F.transform(h["a"], lambda x: x.cast("double") / h["n"]))), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """null if either norm is zero."""
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))

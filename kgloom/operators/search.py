@@ -25,7 +25,7 @@ def keyword_search(kg: KnowledgeGraph, keywords: DataFrame, limit: int = 10, var
     typed = type_prefix is not None and "types" in keywords.columns
     kind = F.when(F.size("types") > 0, F.concat(F.lit(type_prefix), F.get("types", F.lit(0)))) if typed else F.lit(None).cast("string")
     asked = asked.select("query_id", "forms", kind.alias("wanted"))
-    n = len(asked.select("query_id").limit(most + 1).collect())
+    n = asked.limit(most + 1).count()
     blocks = 1 if n <= most else 1 + asked.count() // most
     found = None
     for i in range(blocks):
