@@ -32,19 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import WORD, Memo, documents, id_and_text, kept, stored, text_of
+from kgloom.llm.common import WORD, documents, id_and_text, stored, text_of
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def _word_hashes() -> Memo:
-    """The worker's cache of word hashes."""
-    from xxhash import xxh64_intdigest
-
-    return kept("word hashes", lambda: Memo(lambda w: xxh64_intdigest(w, 1), 200_000))
-
-
 def mixed(x):
     import numpy as np
 
@@ -63,15 +56,27 @@ def _powers(base: int, n: int, held={}):  # noqa: B006
     return held[base][:n]
 
 
+def word_places(text: str):
+    """(starts, stops): code points where the words of a text begin and end."""
+    import numpy as np
+
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    inside = np.zeros(len(points) + 2, np.int8)
+    inside[1:-1] = (points != 32) & ((points < 9) | (points > 13))
+    steps = np.diff(inside)
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+
 class Words:
     """Hashes of all word n-grams of a text."""
 
     def __init__(self, text: str):
         import numpy as np
+        from xxhash import xxh64_intdigest
 
         words = text.encode().split()
         self.n = len(words)
-        hashes = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, self.n)
+        hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, self.n)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(hashes * _powers(BASE, self.n), out=self.sums[1:])
         self.down = _powers(INVERSE, self.n + 1)
@@ -176,21 +181,18 @@ def windows(rows: DataFrame, min_words: int, window: int, size: int) -> DataFram
     """(w, h, m, doc_id, at, start, stop): the windows around the shared suffixes ``ats`` of rows (doc_id, h, m, text, ats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         import numpy as np
 
-        find = re.compile(r"[^ \t-\r]+").finditer
         for batch in batches:
             for doc_id, h, m, text, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = Words(text)
                 at = np.flatnonzero(np.isin(words.kept(min_words, window, size), ats))
                 if not len(at):
                     continue
-                places = np.array([x.span() for x in find(text)], np.int64)
+                starts, stops = word_places(text)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(words.grams(min_words)[at]), pa.array(np.full(n, h, np.int64)), pa.array(np.full(n, m, np.int32)), pa.array([doc_id] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array(places[at, 0].astype(np.int32)), pa.array(places[at + min_words - 1, 1].astype(np.int32))],
+                    [_signed(words.grams(min_words)[at]), pa.array(np.full(n, h, np.int64)), pa.array(np.full(n, m, np.int32)), pa.array([doc_id] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array(starts[at].astype(np.int32)), pa.array(stops[at + min_words - 1].astype(np.int32))],
                     names=["w", "h", "m", "doc_id", "at", "start", "stop"],
                 )
 
@@ -201,19 +203,21 @@ def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
     """Join the repeated windows of each document, kept and others apart, to maximal spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("h", pa.int64()), ("m", pa.int32()), ("kept", pa.bool_()), ("at", pa.int32()), ("n_words", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("first_id", pa.int64())])
+        import numpy as np
+
         for batch in batches:
-            spans = []
-            for h, m, kept, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = sorted({(x["at"], x["start"], x["stop"], x["first_id"]) for x in found})
-                current = None
-                for at, start, stop, first_id in found:
-                    if current and at <= current[3] + current[4]:
-                        current[4], current[6] = at + min_words - current[3], stop
-                    else:
-                        current = [h, m, kept, at, min_words, start, stop, first_id]
-                        spans.append(current)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*spans, strict=True), out, strict=True)], schema=out)
+            lists = batch.column(3)
+            flat = lists.flatten()
+            at, start, stop, first = (flat.field(n).to_numpy() for n in ("at", "start", "stop", "first_id"))
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            order = np.lexsort((first, at, row))
+            row, at, start, stop, first = (x[order] for x in (row, at, start, stop, first))
+            opens = np.ones(len(row), bool)
+            opens[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > min_words)
+            a = np.flatnonzero(opens)
+            z = np.append(a[1:], len(row))[: len(a)] - 1
+            own = [batch.column(i).take(pa.array(row[a])) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at[a]), pa.array((at[z] + min_words - at[a]).astype(np.int32)), pa.array(start[a]), pa.array(stop[z]), pa.array(first[a])], names=["h", "m", "kept", "at", "n_words", "start", "stop", "first_id"])
 
     grouped = repeated.groupBy("h", "m", "kept").agg(F.collect_list(F.struct("at", "start", "stop", "first_id")).alias("found"))
     return grouped.mapInArrow(run, "h long, m int, kept boolean, at int, n_words int, start int, stop int, first_id long")
