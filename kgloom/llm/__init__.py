@@ -11,9 +11,7 @@ MODULES = ("suffix_dedup", "simhash", "token_counts", "mixing", "imatch", "token
 
 
 def _modules() -> list:
-    from importlib.util import find_spec
-
-    return [importlib.import_module(f"{__name__}.{m}") for m in MODULES if find_spec(f"{__name__}.{m}")]
+    return [importlib.import_module(f"{__name__}.{m}") for m in MODULES]
 
 
 def queries() -> dict:

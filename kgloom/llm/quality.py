@@ -213,7 +213,12 @@ class Rules:
 def training_rows(stats: DataFrame, labels: DataFrame, most: int, label_col: str = "quality") -> DataFrame:
     """At most ``most`` labelled rows that are not held out: those of least hash, then least id."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.when(F.avg("y") >= 0.5, 1.0).otherwise(0.0).alias("y"))
-    rows = stats.where(~held_out(F.col("doc_id"))).join(marks, "doc_id")
+    rows = checkpoint(stats.where(~held_out(F.col("doc_id"))).join(marks, "doc_id"))
+    n = rows.count()
+    if n > 2 * most:  # all but about as many rows as are wanted go before any task sends rows on
+        cut = int(1.2 * most / n * 2**64) - 2**63
+        some = rows.where(F.xxhash64("doc_id") <= cut)
+        rows = some if some.count() >= most else rows
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
