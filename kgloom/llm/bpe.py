@@ -38,12 +38,13 @@ class Coder:
         self.bytes_of = {i: token for token, i in ranks.items()}
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            ends.setdefault(token[-2:], {1}).add(len(token))
+            if len(token) > 2:
+                ends.setdefault(token[-3:], {1, 2}).add(len(token))
         self.sizes = {end: tuple(sorted(sizes, reverse=True)) for end, sizes in ends.items()}  # lengths of the tokens with this end
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}  # what fits() said, a bounded cache
-        self.most_pairs = 200_000
+        self.pairs: dict[int, bool] = {}  # what fits() said, a bounded cache
+        self.most_pairs = 400_000
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[i] = (i, i)
@@ -73,28 +74,29 @@ class Coder:
                     if left == bound:
                         return True
 
-    def last_at(self, data: bytes, end: int, last: list[int]) -> int:
-        """The last token of data[:end], from the last tokens of shorter prefixes."""
-        ranks, pairs = self.ranks.get, self.pairs
-        for size in self.sizes.get(data[end - 2 : end] if end > 1 else data[:1], (1,)):
-            if size <= end and (token := ranks(data[end - size : end])) is not None:
-                if size == end:
-                    return token
-                pair = (last[end - size], token)
-                fit = pairs.get(pair)
-                if fit is None:
-                    if len(pairs) >= self.most_pairs:
-                        pairs.clear()
-                    fit = pairs[pair] = self.fits(*pair)
-                if fit:
-                    return token
-        raise ValueError("the ranks do not cover every byte")
-
-    def extend(self, data: bytes, last: list[int] | None = None) -> list[int]:
-        """Last tokens of all prefixes (entry 0 is unused), continuing from those of a shorter prefix."""
+    def extend(self, data: bytes, last: list[int] | None = None, stop: int | None = None) -> list[int]:
+        """Last tokens of all prefixes (entry 0 is unused), continuing from those of a shorter prefix, up to ``stop`` bytes."""
         last = last or [-1]
-        for end in range(len(last), len(data) + 1):
-            last.append(self.last_at(data, end, last))
+        ranks, pairs, lengths = self.ranks.get, self.pairs, self.sizes.get
+        for end in range(len(last), (len(data) if stop is None else stop) + 1):
+            for size in lengths(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                if size < end:
+                    token = ranks(data[end - size : end])
+                    if token is None:
+                        continue
+                    pair = last[end - size] << 24 | token
+                    fit = pairs.get(pair)
+                    if fit is None:
+                        if len(pairs) >= self.most_pairs:
+                            pairs.clear()
+                        fit = pairs[pair] = self.fits(last[end - size], token)
+                    if fit:
+                        break
+                elif size == end and (token := ranks(data[:end])) is not None:
+                    break
+            else:
+                raise ValueError("the ranks do not cover every byte")
+            last.append(token)
         return last
 
     def edit(self, data: bytes, last: list[int], start: int, stop: int, put: bytes) -> tuple[bytes, list[int], int]:
@@ -104,7 +106,7 @@ class Coder:
         for end in range(start + 1, len(new) + 1):
             if same >= self.longest and end > start + len(put) + self.longest:
                 return new, out + last[end - moved :], done
-            out.append(self.last_at(new, end, out))
+            self.extend(new, out, end)
             done += 1
             same = same + 1 if end > start + len(put) and out[end] == last[end - moved] else 0
         return new, out, done
@@ -128,7 +130,7 @@ class Coder:
 class TextCoder:
     """Splits texts by a pattern and encodes each match on its own; matches are cached."""
 
-    def __init__(self, ranks_file: str, pattern: str, most: int = 200_000):
+    def __init__(self, ranks_file: str, pattern: str, most: int = 300_000):
         import regex
 
         self.coder = Coder(read_ranks(ranks_file))
