@@ -13,7 +13,7 @@ among the subsets that either text fills, for densities at which half of the sub
 likeness 1. A text without terms in the band is fingerprinted by a hash of its text, so different texts of this kind differ.
 
 The edited text needs each document's successor by doc_id. Documents are dealt once into id ranges; the first document of
-each range is also dealt to the range before it. Ties of doc_id are ordered by text; null ids come first; the last
+each range is also dealt to the range before it. Ties of doc_id are ordered by a hash of the text; null ids come first; the last
 document's successor is the first one (itself, if alone).
 
 Null text: empty. Repeated rows follow one another and are each other's successors. Empty table: empty result.
@@ -145,21 +145,36 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows (part, extra, doc_id, tie, text) with each text compressed, as texts travel once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = pa.array([pack(t.encode()) for t in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts], names=["part", "extra", "doc_id", "tie", "packed"])
+
+    return rows.mapInArrow(run, "part int, extra boolean, doc_id long, tie long, packed binary")
+
+
 def successors(rows: DataFrame, parts: int) -> DataFrame:
     """rows (doc_id, text) dealt into id ranges, sorted, with the first of each range also at the end of the range before.
 
-    Columns: part, extra (true for the copied row), doc_id, text.
+    Columns: part, extra (true for the copied row), doc_id, tie, packed (the compressed text).
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     keyed = rows.withColumn("key", key).withColumn("part", range_part(rows, "doc_id", parts))
     heads = sorted(tuple(r) for r in keyed.groupBy("part").agg(F.min("key")).collect())  # one row for each range
     copies = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}  # the first row's copy goes round to the last range
-    if not copies:
-        return keyed.select("part", F.lit(False).alias("extra"), "doc_id", "text")
-    to = F.create_map(*(F.lit(x) for k, p in copies.items() for x in (k, p)))
-    ways = F.when(F.col("key").isin(list(copies)), F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("x")), F.struct(F.element_at(to, F.col("key")).alias("p"), F.lit(True).alias("x")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("x"))))
-    dealt = keyed.select(F.explode(ways).alias("w"), "doc_id", "text").select(F.col("w.p").alias("part"), F.col("w.x").alias("extra"), "doc_id", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    way = lambda part, extra: F.struct(part.alias("p"), F.lit(extra).alias("x"))
+    ways = F.array(way(F.col("part"), False))
+    if copies:
+        to = F.create_map(*(F.lit(x) for k, p in copies.items() for x in (k, p)))
+        ways = F.when(F.col("key").isin(list(copies)), F.array(way(F.col("part"), False), way(F.element_at(to, F.col("key")), True))).otherwise(ways)
+    dealt = keyed.select(F.explode(ways).alias("w"), "doc_id", F.xxhash64("text").alias("tie"), "text").select(F.col("w.p").alias("part"), F.col("w.x").alias("extra"), "doc_id", "tie", "text")
+    return packed(dealt).repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "tie")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -182,7 +197,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most_ter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        maker, before, out = Fingerprinter(held.value), None, []
+        from zstandard import ZstdDecompressor
+
+        maker, unpack, before, out = Fingerprinter(held.value), ZstdDecompressor().decompress, None, []
 
         def close(part, doc_id, text, print_, following, next_print):
             changed = edited(text, following)
@@ -190,7 +207,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, most_ter
             return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), print_, again, likeness(print_, again), likeness(print_, next_print)
 
         for batch in batches:
-            for part, extra, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, extra, doc_id, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unpack(data).decode()
                 if extra and (before is None or before[0] != part):
                     continue  # a further copy of a row whose id repeats
                 now = show(maker.hashes(text))
