@@ -18,10 +18,10 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows
+from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows, stored, text_of
 from kgloom.operators.components import connected_components
 
 BITS = 64
@@ -126,11 +126,32 @@ def near_duplicates(docs: DataFrame, radius: int = 2, most: int = 4096, id_col:
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id names its group, one row each; all columns stay."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+def text_key(text_col: str) -> Column:
+    """The key of a text: equal texts have equal keys."""
+    return F.xxhash64(text_of(text_col))
+
+
+def one_row_each(docs: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of texts; all columns stay. roots: (h, root) for texts that are in a group with others.
+
+    A row is known by its id and text. The least id is kept, null ids last; rows without id count by their texts.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    named = rows.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")
+    kept = stored(named.groupBy("root").agg(F.min(place).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h"), F.col("best.n").alias("_n")), "kept")
+    match = lambda k: docs[id_col].cast("long").eqNullSafe(k["_id"]) & (text_key(text_col) == k["_h"])
+    single, repeated = kept.where("_n = 1"), kept.where("_n > 1")
+    again = docs.join(repeated, match(repeated), "left_semi").withColumn("_h", text_key(text_col)).dropDuplicates([id_col, "_h"]).drop("_h")
+    return docs.join(single, match(single), "left_semi").unionByName(again)
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """One row of docs for each group of near_duplicates; all columns stay."""
+    prints = checkpoint(fingerprints(docs.withColumn("_h", text_key(text_col)), "_h", text_col, width).select(F.col("doc_id").alias("h"), "fp").distinct())
+    linked = connected_components(links(prints.select("fp").distinct(), radius, most), "u", "v", checkpoint)
+    roots = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
+    return one_row_each(docs, roots, id_col, text_col)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,13 @@ def test_links(spark, radius, most):
             assert (got.get(a, a) == got.get(b, b)) == (want[a] == want[b])
 
 
+def test_one_of_each_keeps_unlike_rows(spark):
+    a, b, c, d, e = (passage(s, 80) for s in range(61, 66))
+    rows = [(7, a), (7, b), (None, c), (None, d), (None, d), (None, e), (9, e.upper()), (3, a)]
+    found = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == sorted([(3, a), (7, b), (9, e.upper()), (0, c), (0, d)])
+
+
 def test_near_duplicates(spark):
     long = passage(9, 400)
     docs = documents(spark, more=[long, long + " x", passage(10, 300)])
