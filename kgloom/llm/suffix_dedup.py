@@ -223,11 +223,16 @@ def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
     return grouped.mapInArrow(run, "h long, m int, kept boolean, at int, n_words int, start int, stop int, first_id long")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 32, size: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, **options) -> DataFrame:
     """doc_id, start, stop (code points), n_words, kept, first_id, whole: a row for each maximal repeated span of each document.
 
     Kept spans are first occurrences; first_id is the document whose passage a span repeats (at its start).
     """
+    return keyed_passages(docs, **options).drop("h", "m")
+
+
+def keyed_passages(docs: DataFrame, min_words: int = 50, window: int = 32, size: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of repeated_passages with the hashes h and m of the document's text, which tell documents of one id apart."""
     if not 1 <= size <= min_words - window + 1:
         raise ValueError("window and size do not fit min_words")
     spark = docs.sparkSession
@@ -246,25 +251,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 32, si
     firsts = held.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "first")
     firsts = stored(firsts, "firsts")  # apart from the join, so that a window of very many documents can be split there
     repeated = held.join(firsts, "w").select("h", "m", "at", "start", "stop", F.col("first.doc_id").alias("first_id"), (place == F.col("first")).alias("kept"))
-    own = _spans(repeated, min_words).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"]).select("doc_id", "start", "stop", "n_words", "kept", "first_id")
+    own = _spans(repeated, min_words).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"]).select("doc_id", "h", "m", "start", "stop", "n_words", "kept", "first_id")
     # Exact copies: the whole text, if long enough.
     long_enough = classes.where((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select("h", "m", "first_id", F.col("n_chars").alias("stop"), "n_words")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    copies = ids.select(key.alias("doc_id"), "h", "m").join(long_enough, ["h", "m"]).select("doc_id", F.lit(0).alias("start"), "stop", "n_words", (F.col("doc_id") == F.col("first_id")).alias("kept"), "first_id", F.lit(True).alias("whole"))
+    copies = ids.select(key.alias("doc_id"), "h", "m").join(long_enough, ["h", "m"]).select("doc_id", "h", "m", F.lit(0).alias("start"), "stop", "n_words", (F.col("doc_id") == F.col("first_id")).alias("kept"), "first_id", F.lit(True).alias("whole"))
     own = own.withColumn("whole", F.lit(False))
     found = own.unionByName(copies)
     real = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
-    return found.select(real("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("n_words").cast("long").alias("n_words"), "kept", real("first_id"), "whole")
+    return found.select(real("doc_id"), "h", "m", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("n_words").cast("long").alias("n_words"), "kept", real("first_id"), "whole")
 
 
 def cuts(spans: DataFrame) -> DataFrame:
-    """(doc_id, cuts): what is to be cut out of each document, as sorted disjoint spans of code points."""
+    """(doc_id, h, m, cuts): what is to be cut out of each document, as sorted disjoint spans of code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             out = []
-            for found in batch.column(1).to_pylist():
+            for found in batch.column(3).to_pylist():
                 marks = [e for x in found for e in ((x["start"], x["kept"], 1), (x["stop"], x["kept"], -1))]
                 depth, spans, since = {True: 0, False: 0}, [], None
                 for at, kept, step in sorted(marks, key=lambda e: (e[0], -e[2])):
@@ -276,10 +281,10 @@ def cuts(spans: DataFrame) -> DataFrame:
                         spans += [{"start": since, "stop": at}] * (at > since)
                         since = None
                 out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "cuts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=["doc_id", "h", "m", "cuts"])
 
-    grouped = spans.where("NOT (kept AND whole)").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "kept")).alias("found"))
-    return grouped.mapInArrow(run, "doc_id long, cuts array<struct<start: long, stop: long>>").where(F.size("cuts") > 0)
+    grouped = spans.where("NOT (kept AND whole)").groupBy("doc_id", "h", "m").agg(F.collect_set(F.struct("start", "stop", "kept")).alias("found"))
+    return grouped.mapInArrow(run, "doc_id long, h long, m int, cuts array<struct<start: long, stop: long>>").where(F.size("cuts") > 0)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
@@ -287,9 +292,10 @@ def without_repeats(docs: DataFrame, text_col: str = "text", count_col: str | No
 
     Where ``count_col`` is a column it gets the new number of code points.
     """
-    cut = cuts(repeated_passages(docs, text_col=text_col, **options)).toDF("_cut_id", "_cuts")
+    cut = cuts(keyed_passages(docs, text_col=text_col, **options)).toDF("_cut_id", "_cut_h", "_cut_m", "_cuts")
     id_col = options.get("id_col", "doc_id")
-    joined = docs.join(cut, docs[id_col].cast("long").eqNullSafe(cut["_cut_id"]), "left").withColumn("_text", text_of(text_col))
+    same = docs[id_col].cast("long").eqNullSafe(cut["_cut_id"]) & (F.xxhash64(text_of(text_col)) == cut["_cut_h"]) & (F.hash(text_of(text_col)) == cut["_cut_m"])
+    joined = docs.join(cut, same, "left").withColumn("_text", text_of(text_col))
     left = F.expr("aggregate(_cuts, named_struct('p', 0L, 'o', ''), (a, x) -> named_struct('p', x.stop, 'o', concat(a.o, substring(_text, cast(a.p + 1 as int), cast(x.start - a.p as int)))), a -> concat(a.o, substring(_text, cast(a.p + 1 as int))))")
     edited = joined.withColumn("_left", F.when(F.col("_cuts").isNotNull(), left)).where(F.col("_cuts").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     changed = {text_col: F.coalesce("_left", F.col(text_col))}

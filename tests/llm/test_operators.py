@@ -70,6 +70,14 @@ def test_suffix_dedup(spark):
     assert not {x for x in repeated([(i, r["text"] or "") for i, r in after.items()], 50) if x[0] != 9}
 
 
+def test_cuts_go_by_id_and_text(spark):
+    shared, a, b = passage(71, 60), passage(72, 120), passage(73, 120)
+    rows = [(3, shared), (7, f"{shared} {a}"), (7, b), (None, f"x {shared} y"), (None, a.upper())]
+    left = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = [(r["doc_id"], r["text"].strip()) for r in left]
+    assert (7, a) in texts and (7, b) in texts and (None, a.upper()) in texts and (None, f"x {shared} y") in texts and len(left) == 4
+
+
 @pytest.mark.parametrize("size", [1, 7])
 def test_suffix_dedup_random(spark, size):
     rng = random.Random(size)
