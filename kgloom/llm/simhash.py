@@ -10,6 +10,9 @@ in memory, block by block, and yields a star of links for each connected part, n
 another exact way: fingerprints at distance 2 or less share a word at distance 1 or less from both, so each member names
 its 65 such words and members meet at the words. Groups are the connected components of all links.
 
+The pipeline's stage takes five-word shingles and Jaccard similarity 0.8 (``one_of_similar``): wide prints of several
+fingerprints find candidates, whose shingles are then compared.
+
 Nulls and edge cases: a null text is empty; a text without words has fingerprint zero, linked like any other; a null
 doc_id takes part but never names a component unless its group has no other id. Repeated rows are returned each. An
 empty table gives an empty result.
@@ -17,14 +20,20 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows, stored, text_of
+from kgloom.llm.suffix_dedup import mixed
 from kgloom.operators.components import connected_components
 
 BITS = 64
+#: Wide prints of whole stages: bits, samples, bits of a sample, greatest distance, and the shingles of a short text.
+WIDE, TABLES, TAKEN, RADIUS, FEW = 256, 64, 16, 80, 40
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -154,12 +163,160 @@ def one_of_each(docs: DataFrame, radius: int = 2, most: int = 4096, id_col: str
     return one_row_each(docs, roots, id_col, text_col)
 
 
+def shingle_hashes(text: str, width: int = 5):
+    """The sorted distinct XXH64 (seed 42) of the word shingles of a text, as unsigned 64-bit numbers."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64))
+
+
+def wide_bits(hashes):
+    """The WIDE bits of the SimHash of distinct shingle hashes, as 0 and 1."""
+    import numpy as np
+
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 16384):
+        block = hashes[at : at + 16384]
+        prints = np.stack([mixed(block + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(WIDE // BITS)], axis=1)
+        ones += np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (2 * ones > len(hashes)).astype(np.uint8)
+
+
+def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(h, f, keys) of rows (h, text): the bits as four longs, and the keys under which the text is compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        places = np.stack([np.random.default_rng(t).choice(WIDE, TAKEN, replace=False) for t in range(TABLES)])
+        powers, had = 1 << np.arange(TAKEN), set()
+        for batch in batches:
+            hs, prints, keys = [], [], []
+            for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h in had:  # an exact copy
+                    continue
+                if len(had) > 500_000:
+                    had.clear()
+                had.add(h)
+                found = shingle_hashes(text, width)
+                bits = wide_bits(found)
+                own = (bits[places] @ powers) + (np.arange(TABLES) << TAKEN)
+                if len(found) <= FEW:  # two sets within the threshold share one of so many least hashes
+                    own = np.concatenate([own, found[: len(found) - math.ceil(threshold * len(found)) + 1].view(np.int64)])
+                hs.append(h)
+                prints.append(np.packbits(bits, bitorder="little").view(np.int64))
+                keys.append(own)
+            if hs:
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["h", "f", "keys"])
+
+    return rows.select("h", "text").mapInArrow(run, "h long, f array<long>, keys array<long>")
+
+
+def _apart(x, i):
+    import numpy as np
+
+    return np.bitwise_count(x ^ x[i]).sum(-1, dtype=np.int64)
+
+
+def near_pairs(h, x, radius: int) -> list[tuple[int, int]]:
+    """Pairs of h whose prints (rows of x) differ in up to radius bits: all of them, or where they are many those of a tree
+    of least distances, which connects whatever any smaller radius connects."""
+    import numpy as np
+
+    n, found = len(h), []
+    for at in range(0, n, 256):
+        d = np.bitwise_count(x[at : at + 256, None, :] ^ x[None, at:, :]).sum(-1, dtype=np.int64)
+        i, j = np.nonzero(d <= radius)
+        ahead = i < j
+        found += zip((i[ahead] + at).tolist(), (j[ahead] + at).tolist())
+        if len(found) > 16 * n + 64:
+            break
+    else:
+        return [(int(h[i]), int(h[j])) for i, j in found]
+    best, source, left, found = np.full(n, WIDE + 1), np.zeros(n, np.int64), np.ones(n, bool), []
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = _apart(x, at)
+        nearer = left & (d < best)
+        best[nearer], source[nearer] = d[nearer], at
+        at = int(np.where(left, best, WIDE + 2).argmin())
+        if best[at] <= radius:
+            found.append((int(h[source[at]]), int(h[at])))
+    return found
+
+
+def candidates(rows: DataFrame, width: int, threshold: float, most: int = 4096) -> DataFrame:
+    """(u, v): pairs of texts (keys h) to be compared. Buckets over ``most`` are taken in runs that share their first member
+    and the last one of the run before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for key, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                flat = held.values
+                h, first = np.unique(flat.field("h").to_numpy(), return_index=True)
+                if len(h) < 2:
+                    continue
+                x = np.stack([flat.field(f"f{i}").to_numpy() for i in range(WIDE // BITS)], axis=1)[first].view(np.uint64)
+                if len(h) > most:
+                    order = np.argsort(x[:, key % x.shape[1]], kind="stable")
+                    h, x = h[order], x[order]
+                pairs = []
+                for at in range(0, len(h), most):
+                    take = np.unique(np.r_[0, max(at - 1, 0) : min(at + most, len(h))])
+                    pairs += near_pairs(h[take], x[take], RADIUS)
+                if pairs:
+                    u, v = np.sort(np.array(pairs, np.int64), axis=1).T
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    each = sketches(rows, width, threshold).select("h", *(F.col("f")[i].alias(f"f{i}") for i in range(WIDE // BITS)), F.explode("keys").alias("key"))
+    buckets = each.groupBy("key").agg(F.collect_list(F.struct("h", *(f"f{i}" for i in range(WIDE // BITS)))).alias("held")).where(F.size("held") > 1)
+    return buckets.mapInArrow(run, "u long, v long").distinct()
+
+
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(h, shingles) of rows (h, text)."""
+
+    def make():
+        import numpy as np
+
+        return lambda columns: [columns[0], [shingle_hashes(t, width).view(np.int64) for t in columns[1]]]
+
+    return map_rows(rows.select("h", "text"), "h long, shingles array<long>", pa.schema([("h", pa.int64()), ("shingles", pa.list_(pa.int64()))]), make)
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h, root): texts (by text_key) that pairs of this Jaccard similarity of word shingles connect, and one text of each group.
+
+    Candidates have two wide SimHash prints that agree in one of TABLES samples of TAKEN bits and differ in up to RADIUS
+    bits; texts of up to FEW shingles also meet at shingles, where no pair is missed. All are checked on the shingles.
+    """
+    rows = id_and_text(docs, id_col, text_col).select(F.xxhash64("text").alias("h"), "text")
+    pairs = stored(candidates(rows, width, threshold), "pairs")
+    needed = stored(pairs.select("u").union(pairs.select("v")).distinct().toDF("h"), "needed")
+    sets = stored(shingle_sets(rows.join(needed, "h", "left_semi").dropDuplicates(["h"]), width), "sets")
+    of = lambda c: sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = F.size(F.array_intersect("su", "sv"))
+    alike = pairs.join(of("u"), "u").join(of("v"), "v").where(both / (F.size("su") + F.size("sv") - both) >= threshold)
+    return connected_components(alike.select("u", "v"), "u", "v", checkpoint).withColumnRenamed("node", "h")
+
+
+def one_of_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of similar texts; all columns stay."""
+    return one_row_each(docs, similar(docs, threshold, width, id_col, text_col), id_col, text_col)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_similar(docs)
 
 
 QUERIES = {"op2_simhash": op2_simhash}

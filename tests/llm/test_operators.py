@@ -141,6 +141,27 @@ def test_one_of_each_keeps_unlike_rows(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == sorted([(3, a), (7, b), (9, e.upper()), (0, c), (0, d)])
 
 
+def test_one_of_similar(spark):
+    rng, texts = random.Random(4), []
+    for i in range(120):
+        words = passage(1000 + i, (6, 20, 60, 200, 400)[i % 5]).split()
+        texts.append(" ".join(words))
+        for j in rng.sample(range(len(words)), rng.randint(1, max(1, len(words) // 50))):
+            words[j] = "new"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    left = {r["doc_id"] for r in simhash.one_of_similar(docs).collect()}
+    gone = set(range(len(texts))) - left
+    assert gone <= {j for _, j in alike}
+    assert len(alike) > 50 and len(gone) >= 0.97 * len({j for _, j in alike})
+    x = np.random.default_rng(1).integers(0, 2**63, (1, 4), np.uint64) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))[:, None]
+    assert len(simhash.near_pairs(np.arange(60), x, 80)) == 59  # a tree
+    big = simhash.candidates(docs.select(F.xxhash64("text").alias("h"), "text"), 5, 0.8, most=3).count()
+    assert big > 50
+
+
 def test_near_duplicates(spark):
     long = passage(9, 400)
     docs = documents(spark, more=[long, long + " x", passage(10, 300)])
