@@ -362,9 +362,8 @@ k AS (SELECT q, x AS g, min(y) AS cluster FROM w GROUP BY q, x)
 SELECT k.q AS question_id, k.cluster, string_agg(DISTINCT t.s || '>' || t.o, '|' ORDER BY t.s || '>' || t.o) AS triples, max(t.pr) AS probability, count(DISTINCT t.g) AS merged_from FROM k JOIN t ON k.q = t.q AND k.g = t.g GROUP BY k.q, k.cluster"""
 
 
-@query(_MERGE, graph=False)
-def connected_merge(spark, d):
-    o, c, line = table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "customer"), table(spark, d, "lineitem")
+def _order_merge(o, c, line):
+    """Orders as subgraphs of their customers' nations, merged where they share parts."""
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(line, o["o_orderkey"] == line["l_orderkey"])
     s, p = F.concat(F.lit("order"), F.col("o_orderkey").cast("string")), F.concat(F.lit("part"), F.col("l_partkey").cast("string"))
     step = F.struct(s.alias("s"), F.lit("has").alias("p"), p.alias("o"))
@@ -376,6 +375,16 @@ def connected_merge(spark, d):
     return found.select("question_id", "cluster", joined.alias("triples"), "probability", "merged_from")
 
 
+@query(_MERGE, graph=False)
+def connected_merge(spark, d):
+    return _order_merge(table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "customer"), table(spark, d, "lineitem"))
+
+
+@query()
+def connected_merge_all(spark, d):
+    return _order_merge(table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "lineitem"))
+
+
 # ---------------------------------------------------------------- validation and evaluation
 
 _SETS = """o AS (SELECT o_orderkey AS question_id, o_orderkey % 13 <> 0 AS golden_ok, o_orderkey % 11 <> 0 AS generated_ok, o_orderpriority AS query_type FROM orders),
