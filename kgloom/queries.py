@@ -243,7 +243,7 @@ def collection_delete(spark, d):
 
 @query("WITH u AS (SELECT s AS uri, count(*) AS degree FROM triples GROUP BY s) SELECT 1 AS one".replace("SELECT 1 AS one", "SELECT 'entity_' || (row_number() OVER (ORDER BY degree DESC, uri) - 1) AS id, uri FROM u").replace("WITH u", ", u", 1))
 def compile_entities(spark, d):
-    return vectors.compile_entities(kg(spark, d), vectors.HashingEncoder(8), 10_000_000).select("id", "uri")
+    return vectors.compile_entities(kg(spark, d), vectors.HashingEncoder(8), None).select("id", "uri")
 
 
 # ---------------------------------------------------------------- hybrid search and filters

@@ -1,6 +1,8 @@
 """Registered queries without SQL, against brute force on small tables."""
 
 from kgloom import queries
+from kgloom.operators import vectors
+from tests.hand import hand_graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +34,11 @@ def test_connected_merge_all(spark):
     total = queries.QUERIES["connected_merge_all"](spark, SF).agg(queries.F.sum("merged_from")).head()[0]
     whole = queries.table(spark, SF, "orders").join(queries.table(spark, SF, "lineitem").select(queries.F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").join(queries.table(spark, SF, "customer").select(queries.F.col("c_custkey").alias("o_custkey")), "o_custkey").count()
     assert total == whole and "connected_merge_all" not in queries.SQL
+
+
+def test_compile_entities_takes_all(spark, monkeypatch):
+    kg, limits, plain = hand_graph(spark), [], vectors.compile_entities
+    assert plain(kg, vectors.HashingEncoder(8), None).count() == kg.triples.select("s").distinct().count()
+    monkeypatch.setattr(vectors, "compile_entities", lambda kg, encoder, limit: limits.append(limit) or plain(kg, encoder, limit))
+    queries.compile_entities(spark, SF)
+    assert limits == [None]
