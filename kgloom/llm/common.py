@@ -57,6 +57,14 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def boxed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's whole row as one struct ``row`` beside further columns, so that no column name of df can clash with ours.
+
+    ``select("row.*")`` gives the rows back.
+    """
+    return df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
 def range_part(rows: DataFrame, id_col: str, parts: int) -> Column:
     """The number of the id range, 0 to parts - 1 in ascending order (nulls first), that a row of rows belongs to.
 

@@ -6,22 +6,27 @@ at another place of the same one. White space between words may differ.
 1. Sparse: of every ``min_words`` window the place of the least hash among its first ``window`` word k-grams (leftmost if
    tied) is kept. Equal windows keep the same place, so whatever is repeated shares a kept suffix, and all words from it
    to the window's end, at least ``min_words - window + 1``.
-2. Sort: the kept suffixes, keyed by that many words, are sorted over the whole corpus in ranges (equal keys may span
-   ranges, so a passage in a third of all documents still spreads), and each is compared with its neighbours. Suffixes
-   that are alone are dropped. The first and last of a range stay, since their neighbour is in another range; step 3
-   clears them.
-3. Extend: from every suffix left, a match is extended to the left and to the right: each window around it whose kept
-   place it is gets a hash of all its words, and equal hashes are counted corpus-wide. (The neighbour with the longest
-   common prefix need not be the one with the longest match on both sides, so extension is not limited to it.) Repeated
-   windows of a document that overlap join to maximal spans.
+2. Thin out: the kept suffixes, keyed by a hash of that many words, are sorted over the whole corpus in ranges (equal keys
+   may span ranges, so a passage in a third of all documents still spreads), and each is compared with its neighbours.
+   Suffixes that are alone are dropped. The first and last of a range stay, since their neighbour is in another range.
+3. Sort and extend: what is left travels once more, with its words on both sides as far as a window reaches, to the task of
+   its key. There the suffixes are put in the order of their words, read rightwards, and in that of the words before them, read
+   leftwards; the longest common prefixes of neighbours in both orders say how far any two of them match to the right and to
+   the left. A window is repeated if another suffix matches on both sides as far as the window reaches. (The
+   neighbour with the longest match on one side need not be the one with the longest match on both, so both orders count.)
+   Words themselves are compared, not hashes.
+4. Repeated windows of a document that overlap join to maximal spans.
+
+Suffixes of which there are over ``most`` are not brought together: their windows are hashed (128 bits) and counted with
+partial sums in each task, which finds the same windows.
 
 Exact copies are collapsed before step 3 by a 96-bit hash of the text: the copy with the least doc_id stands for all, the
 others are one span if they have ``min_words`` words, and so is the first, as a kept one (``whole`` marks these spans). The
 first occurrence of a window (least doc_id, then place) is marked kept. ``without_repeats`` cuts the other spans out, except words
 that are also in a kept one, so that every passage stays somewhere.
 
-Nulls and edge cases: a null or short text has no spans; null ids come before all others. Rows that repeat both doc_id and text are one document. An
-empty table gives an empty result. Texts are processed whole.
+Nulls and edge cases: a null or short text has no spans; null ids come before all others. Rows that repeat both doc_id and
+text are one document. An empty table gives an empty result. Texts are processed whole. Columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import WORD, documents, id_and_text, stored, text_of
+from kgloom.llm.common import WORD, boxed, documents, id_and_text, stored, text_of
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -74,9 +79,9 @@ class Words:
         import numpy as np
         from xxhash import xxh64_intdigest
 
-        words = text.encode().split()
-        self.n = len(words)
-        hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, self.n)
+        self.words = text.encode().split()
+        self.n = len(self.words)
+        hashes = np.fromiter(map(xxh64_intdigest, self.words), np.uint64, self.n)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(hashes * _powers(BASE, self.n), out=self.sums[1:])
         self.down = _powers(INVERSE, self.n + 1)
@@ -131,76 +136,184 @@ def suffixes(rows: DataFrame, min_words: int, window: int, size: int) -> DataFra
 
 
 def shared_suffixes(found: DataFrame, parts: int) -> DataFrame:
-    """(h, m, at) of the suffixes that equal a neighbour in sorted order, or that end a range."""
+    """(suffix, h, m, at) of the suffixes that equal a neighbour in sorted order, or that end a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        held, opened, first = None, True, True  # the rows not yet decided; whether the range has just begun
-
-        def decide(rows, last: bool):
-            nonlocal first
-            suffix, h, m, at = rows
-            run_start = np.ones(len(suffix), bool)
-            run_start[1:] = (suffix[1:] != suffix[:-1]) | (h[1:] != h[:-1]) | (m[1:] != m[:-1]) | (at[1:] != at[:-1])
-            suffix, h, m, at = (c[run_start] for c in rows)
-            if not last:  # the last run waits for its neighbour
-                rest = tuple(c[-1:] for c in (suffix, h, m, at))
-            same = suffix[1:] == suffix[:-1]
-            out = np.zeros(len(suffix), bool)
-            out[1:] |= same
-            out[:-1] |= same
-            if first and len(out):
-                out[0] = True
-            if last and len(out):
-                out[-1] = True
-            return (h, m, at, out), None if last else (rest, out[-1:])
-
-        waiting = None  # whether the one row that waits is already known to be shared
+        held, waiting, first = None, False, True  # the last row, whether it is known to be shared, whether the range has just begun
         for batch in batches:
-            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(rows[0]):
+                continue
             if held is not None:
-                rows = tuple(np.concatenate([a, b]) for a, b in zip(held, rows, strict=True))
-            (h, m, at, out), (held, flag) = decide(rows, False)
-            if waiting is not None:
-                out[:1] |= waiting
-                if len(out) == 1:
-                    flag = flag | waiting
-            waiting, first = flag, False
-            out = out[:-1]
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)
+            rows = [x[new] for x in rows]
+            same, out = rows[0][1:] == rows[0][:-1], np.zeros(len(rows[0]), bool)
+            out[1:] |= same
+            out[:-1] |= same
+            out[0] |= waiting | first
+            held, waiting, first = [x[-1:] for x in rows], bool(out[-1]), False
+            out[-1] = False
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[:-1][out]) for c in (h, m, at)], names=["h", "m", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], names=cols)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[1:]], names=["h", "m", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=cols)
 
     cols = ["suffix", "h", "m", "at"]
-    return found.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).mapInArrow(run, "h long, m int, at int")
+    return found.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).mapInArrow(run, "suffix long, h long, m int, at int")
+
 
+CONTEXT = "suffix long, h long, m int, doc_id long, at int, lo int, words binary, starts array<int>, stops array<int>, w long, x long"
 
-def windows(rows: DataFrame, min_words: int, window: int, size: int) -> DataFrame:
-    """(w, h, m, doc_id, at, start, stop): the windows around the shared suffixes ``ats`` of rows (doc_id, h, m, text, ats)."""
+
+def contexts(rows: DataFrame, min_words: int, window: int, size: int) -> DataFrame:
+    """The shared suffixes of rows (doc_id, h, m, text, ats) with all that their windows need; ats are (at, suffix, many).
+
+    A suffix that is not one of very many has its windows (from word ``lo`` on, one for each of ``starts``) and their
+    words joined by spaces; of one that is, each window is a row with the hashes w and x of its words.
+    """
+    kind = pa.schema([("suffix", pa.int64()), ("h", pa.int64()), ("m", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("words", pa.binary()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("w", pa.int64()), ("x", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        from xxhash import xxh128_intdigest
 
         for batch in batches:
             for doc_id, h, m, text, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = Words(text)
-                at = np.flatnonzero(np.isin(words.kept(min_words, window, size), ats))
-                if not len(at):
-                    continue
-                starts, stops = word_places(text)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(words.grams(min_words)[at]), pa.array(np.full(n, h, np.int64)), pa.array(np.full(n, m, np.int32)), pa.array([doc_id] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array(starts[at].astype(np.int32)), pa.array(stops[at + min_words - 1].astype(np.int32))],
-                    names=["w", "h", "m", "doc_id", "at", "start", "stop"],
-                )
+                kept = words.kept(min_words, window, size)  # rises along the text
+                starts, stops = (x.astype(np.int32) for x in word_places(text))
+                out = []
+                for a in sorted(ats, key=lambda a: a["at"]):
+                    at = a["at"]
+                    lo, end = (int(x) for x in np.searchsorted(kept, [at, at + 1]))
+                    if not a["many"]:
+                        out.append((a["suffix"], h, m, doc_id, at, lo, b" ".join(words.words[lo : end + min_words - 1]), starts[lo:end], stops[lo + min_words - 1 : end + min_words - 1], None, None))
+                        continue
+                    for i in range(lo, end):
+                        both = xxh128_intdigest(b" ".join(words.words[i : i + min_words]))
+                        w, x = (v - (1 << 64) if v >> 63 else v for v in divmod(both, 1 << 64))
+                        out.append((a["suffix"], h, m, doc_id, i, i, None, starts[i : i + 1], stops[i + min_words - 1 : i + min_words], w, x))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
+
+    return rows.select("doc_id", "h", "m", "text", "ats").mapInArrow(run, CONTEXT)
+
+
+FOUND = "h long, m int, kept boolean, at int, last int, start int, stop int, first_id long"
+
+
+def _matches(rows, group):
+    """(place in the order of the words, common words with the row before) of rows of word numbers, within groups."""
+    import numpy as np
+
+    order = np.lexsort([*(rows[:, j] for j in range(rows.shape[1] - 1, -1, -1)), group])
+    unlike = np.ones((len(rows) - 1, rows.shape[1] + 1), bool)
+    unlike[:, :-1] = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(group[order[1:]] == group[order[:-1]], unlike.argmax(1), -1)
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    return place, common
 
-    return rows.select("doc_id", "h", "m", "text", "ats").mapInArrow(run, "w long, h long, m int, doc_id long, at int, start int, stop int")
+
+def compared(suffix, doc_id, h, m, at, lo, words, n_windows, min_words: int, window: int):
+    """For suffixes in whole groups: (states, firsts), a row for each and a column for each window that ends its left
+    reach there, from the leftmost on: 0 is not repeated, 1 repeated, 2 repeated and the first; firsts are rows of the first ones."""
+    import numpy as np
+
+    n, known = len(suffix), {}
+    flat, sizes = [], np.zeros(n, np.int64)
+    for i, row in enumerate(words):
+        numbers = [known.setdefault(w, len(known) + 1) for w in row.split(b" ")]
+        flat += numbers
+        sizes[i] = len(numbers)
+    before = at - lo
+    row = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes + before, sizes)  # 0 is the suffix's first word
+    right, left = np.zeros((n, min_words), np.int32), np.zeros((n, window - 1), np.int32)
+    flat, ahead = np.array(flat, np.int32), place >= 0
+    right[row[ahead], place[ahead]] = flat[ahead]
+    left[row[~ahead], -place[~ahead] - 1] = flat[~ahead]
+    group = np.cumsum(np.r_[True, suffix[1:] != suffix[:-1]])
+    on_right, common_right = _matches(right, group)
+    on_left, common_left = _matches(left, group)
+    class_of = lambda at_, common, reach: np.r_[0, np.cumsum(common < reach)][at_]  # noqa: E731  equal for rows that match so far
+    turn = np.empty(n, np.int64)
+    turn[np.lexsort((at, m, h, doc_id))] = np.arange(n)
+    states, firsts = np.zeros((n, window), np.int8), np.zeros((n, window), np.int64)
+    for reach in range(window):
+        own = np.flatnonzero((reach <= before) & (reach > before - n_windows))
+        if len(own) < 2:
+            continue
+        key = class_of(on_left, common_left, reach)[own] * (n + 1) + class_of(on_right, common_right, min_words - reach)[own]
+        order = np.lexsort((turn[own], key))
+        own, key = own[order], key[order]
+        opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts = np.diff(np.r_[opens, len(key)])
+        first, many = np.repeat(own[opens], counts), np.repeat(counts > 1, counts)
+        states[own[many], window - 1 - reach] = np.where(first == own, 2, 1)[many]
+        firsts[own[many], window - 1 - reach] = first[many]
+    return states, firsts
+
+
+def extended(found: DataFrame, parts: int, min_words: int, window: int, group: int = 8192) -> DataFrame:
+    """FOUND rows: runs of repeated windows around each suffix, from the words on both sides of suffixes of one key."""
+
+    def judged(t: pa.Table) -> pa.RecordBatch | None:
+        import numpy as np
+
+        suffix, h, m, doc_id, at, lo = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("suffix", "h", "m", "doc_id", "at", "lo"))
+        if len(suffix) < 2:
+            return None
+        starts, stops = (t.column(c).combine_chunks() for c in ("starts", "stops"))
+        n_windows = starts.value_lengths().to_numpy()
+        states, firsts = compared(suffix, doc_id, h, m, at.astype(np.int64), lo.astype(np.int64), t.column("words").to_pylist(), n_windows, min_words, window)
+        edge = np.zeros((len(states), 1), np.int8)
+        opens = (states > 0) & (states != np.hstack([edge, states[:, :-1]]))
+        closes = (states > 0) & (states != np.hstack([states[:, 1:], edge]))
+        (row, a), (_, z) = np.nonzero(opens), np.nonzero(closes)
+        if not len(row):
+            return None
+        offset = (np.cumsum(n_windows) - n_windows)[row] - lo[row]
+        a_at, z_at = at[row] - (window - 1 - a), at[row] - (window - 1 - z)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[row]), pa.array(m[row]), pa.array(states[row, a] == 2), pa.array(a_at.astype(np.int32)), pa.array(z_at.astype(np.int32)), starts.flatten().take(pa.array(offset + a_at)), stops.flatten().take(pa.array(offset + z_at)), pa.array(doc_id[firsts[row, a]])],
+            names=[c.split()[0] for c in FOUND.split(", ")],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(held) < group:
+                continue
+            keys = held.column("suffix").to_numpy()
+            cut = int(keys.searchsorted(keys[-1]))  # the last group may go on
+            if cut:
+                if (out := judged(held.slice(0, cut))) is not None:
+                    yield out
+                held = held.slice(cut)
+        if held is not None and (out := judged(held)) is not None:
+            yield out
+
+    columns = ["suffix", "h", "m", "doc_id", "at", "lo", "words", "starts", "stops"]
+    return found.select(*columns).repartitionByRange(parts, "suffix").sortWithinPartitions("suffix").mapInArrow(run, FOUND)
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """FOUND rows of the windows of very frequent suffixes, by the hashes of their words."""
+    place = F.struct("doc_id", "h", "m", "at")
+    firsts = found.groupBy("w", "x").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "x", "first")
+    firsts = stored(firsts, "firsts")  # apart from the join, so that a window of very many documents can be split there
+    joined = found.join(firsts, ["w", "x"])
+    return joined.select("h", "m", (place == F.col("first")).alias("kept"), "at", F.col("at").alias("last"), F.col("starts")[0].alias("start"), F.col("stops")[0].alias("stop"), F.col("first.doc_id").alias("first_id"))
 
 
 def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
-    """Join the repeated windows of each document, kept and others apart, to maximal spans."""
+    """Join the runs of repeated windows of each document, kept and others apart, to maximal spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -208,18 +321,18 @@ def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             lists = batch.column(3)
             flat = lists.flatten()
-            at, start, stop, first = (flat.field(n).to_numpy() for n in ("at", "start", "stop", "first_id"))
+            at, last, start, stop, first = (flat.field(n).to_numpy() for n in ("at", "last", "start", "stop", "first_id"))
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             order = np.lexsort((first, at, row))
-            row, at, start, stop, first = (x[order] for x in (row, at, start, stop, first))
+            row, at, last, start, stop, first = (x[order] for x in (row, at, last, start, stop, first))
             opens = np.ones(len(row), bool)
-            opens[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > min_words)
+            opens[1:] = (row[1:] != row[:-1]) | (at[1:] - last[:-1] > min_words)
             a = np.flatnonzero(opens)
             z = np.append(a[1:], len(row))[: len(a)] - 1
             own = [batch.column(i).take(pa.array(row[a])) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(at[a]), pa.array((at[z] + min_words - at[a]).astype(np.int32)), pa.array(start[a]), pa.array(stop[z]), pa.array(first[a])], names=["h", "m", "kept", "at", "n_words", "start", "stop", "first_id"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at[a]), pa.array((last[z] + min_words - at[a]).astype(np.int32)), pa.array(start[a]), pa.array(stop[z]), pa.array(first[a])], names=["h", "m", "kept", "at", "n_words", "start", "stop", "first_id"])
 
-    grouped = repeated.groupBy("h", "m", "kept").agg(F.collect_list(F.struct("at", "start", "stop", "first_id")).alias("found"))
+    grouped = repeated.groupBy("h", "m", "kept").agg(F.collect_list(F.struct("at", "last", "start", "stop", "first_id")).alias("found"))
     return grouped.mapInArrow(run, "h long, m int, kept boolean, at int, n_words int, start int, stop int, first_id long")
 
 
@@ -231,7 +344,7 @@ def repeated_passages(docs: DataFrame, **options) -> DataFrame:
     return keyed_passages(docs, **options).drop("h", "m")
 
 
-def keyed_passages(docs: DataFrame, min_words: int = 50, window: int = 32, size: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed_passages(docs: DataFrame, min_words: int = 50, window: int = 32, size: int = 8, id_col: str = "doc_id", text_col: str = "text", most: int = 8192) -> DataFrame:
     """The rows of repeated_passages with the hashes h and m of the document's text, which tell documents of one id apart."""
     if not 1 <= size <= min_words - window + 1:
         raise ValueError("window and size do not fit min_words")
@@ -243,14 +356,15 @@ def keyed_passages(docs: DataFrame, min_words: int = 50, window: int = 32, size:
     classes = ids.groupBy("h", "m").agg(least, F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"), F.max("n_words").alias("n_words"))
     classes = stored(classes, "classes")
     found = stored(suffixes(rows, min_words, window, size), "suffixes")  # range partitioning reads its input twice
-    shared = shared_suffixes(found, parts).groupBy("h", "m").agg(F.collect_set("at").alias("ats"))
-    chosen = shared.join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"])
+    shared = stored(shared_suffixes(found, parts), "shared")
+    crowds = stored(shared.groupBy("suffix").agg(F.count("*").alias("n")).where(F.col("n") > most).select("suffix", F.lit(True).alias("many")), "crowds")
+    marked = shared.join(crowds, "suffix", "left").select("h", "m", F.struct("at", "suffix", F.coalesce("many", F.lit(False)).alias("many")).alias("a"))
+    chosen = marked.groupBy("h", "m").agg(F.collect_set("a").alias("ats")).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"])
     keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    held = stored(windows(keyed.join(chosen, ["doc_id", "h", "m"]), min_words, window, size), "windows")
-    place = F.struct("doc_id", "h", "m", "at")
-    firsts = held.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "first")
-    firsts = stored(firsts, "firsts")  # apart from the join, so that a window of very many documents can be split there
-    repeated = held.join(firsts, "w").select("h", "m", "at", "start", "stop", F.col("first.doc_id").alias("first_id"), (place == F.col("first")).alias("kept"))
+    held = stored(contexts(keyed.join(chosen, ["doc_id", "h", "m"]), min_words, window, size), "contexts")
+    repeated = extended(held.where("words IS NOT NULL"), parts, min_words, window)
+    if not crowds.isEmpty():
+        repeated = repeated.unionByName(counted(held.where("words IS NULL")))
     own = _spans(repeated, min_words).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"]).select("doc_id", "h", "m", "start", "stop", "n_words", "kept", "first_id")
     # Exact copies: the whole text, if long enough.
     long_enough = classes.where((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select("h", "m", "first_id", F.col("n_chars").alias("stop"), "n_words")
@@ -292,16 +406,17 @@ def without_repeats(docs: DataFrame, text_col: str = "text", count_col: str | No
 
     Where ``count_col`` is a column it gets the new number of code points.
     """
-    cut = cuts(keyed_passages(docs, text_col=text_col, **options)).toDF("_cut_id", "_cut_h", "_cut_m", "_cuts")
-    id_col = options.get("id_col", "doc_id")
-    same = docs[id_col].cast("long").eqNullSafe(cut["_cut_id"]) & (F.xxhash64(text_of(text_col)) == cut["_cut_h"]) & (F.hash(text_of(text_col)) == cut["_cut_m"])
-    joined = docs.join(cut, same, "left").withColumn("_text", text_of(text_col))
-    left = F.expr("aggregate(_cuts, named_struct('p', 0L, 'o', ''), (a, x) -> named_struct('p', x.stop, 'o', concat(a.o, substring(_text, cast(a.p + 1 as int), cast(x.start - a.p as int)))), a -> concat(a.o, substring(_text, cast(a.p + 1 as int))))")
-    edited = joined.withColumn("_left", F.when(F.col("_cuts").isNotNull(), left)).where(F.col("_cuts").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {text_col: F.coalesce("_left", F.col(text_col))}
+    cut = cuts(keyed_passages(docs, text_col=text_col, **options)).toDF("i", "k", "l", "cuts")
+    rows = boxed(docs, doc_id=F.col(options.get("id_col", "doc_id")).cast("long"), text=text_of(text_col))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "m": F.hash("text")})
+    joined = rows.join(cut, rows["doc_id"].eqNullSafe(cut["i"]) & (rows["h"] == cut["k"]) & (rows["m"] == cut["l"]), "left")
+    left = F.expr("aggregate(cuts, named_struct('p', 0L, 'o', ''), (a, x) -> named_struct('p', x.stop, 'o', concat(a.o, substring(text, cast(a.p + 1 as int), cast(x.start - a.p as int)))), a -> concat(a.o, substring(text, cast(a.p + 1 as int))))")
+    edited = joined.withColumn("left", F.when(F.col("cuts").isNotNull(), left)).where(F.col("cuts").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    own = F.col("row").getField
+    changed = {text_col: F.coalesce("left", own(text_col))}
     if count_col in docs.columns:
-        changed[count_col] = F.when(F.col("_cuts").isNotNull(), F.length("_left").cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
-    return edited.withColumns(changed).select(*docs.columns)
+        changed[count_col] = F.when(F.col("cuts").isNotNull(), F.length("left").cast(docs.schema[count_col].dataType)).otherwise(own(count_col))
+    return edited.select(*(changed.get(c, own(c)).alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +424,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeats of passages of 50 words or more; see without_repeats."""
     return without_repeats(docs)
 
 
