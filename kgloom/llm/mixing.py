@@ -7,21 +7,29 @@ cap / weight that is one pass: the level is (budget left) / (weight left) at the
 Each document is taken floor(target / source size) times whole. The fraction that is left of its source goes to documents in
 a seeded random order (md5 of the seed and doc_id), each once more, until the words suffice; the last of them is taken in
 part (its first words), so a source's taken words equal its rounded target, and no document is taken beyond its cap. The running sum over
-this order is found in three levels (256 x 256 cells by the leading hash digits, then within a cell), so that no task
-orders a whole source. If all caps together are below the budget, every source is at its cap.
+this order is found in levels: rows that are equal in id, source and text count as one with a multiplicity; ids are summed in
+256 x 256 cells by the leading hash digits, then within a cell; rows of one id (or none) in 1,024 cells by the hash of
+their text, then within a cell. So no task orders a whole source, nor all rows of a repeated id. If all caps together
+are below the budget, every source is at its cap.
 
 Weights repeat over the sources in code point order, nulls last. Null text: size 0. Repeated rows are separate
-documents; ties in the order are broken by size. An empty table gives an empty result, a source of size 0 target 0.
+documents; rows of one id are ordered by cell, size and hash of the text. An empty table gives an empty result, a source of
+size 0 target 0. Columns of the input may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import WORD, checkpoint, documents
+from kgloom.llm.common import WORD, boxed, checkpoint, documents, stored, text_of
 
 WEIGHTS = (5, 2, 1)
+#: Copies of one row that a task makes at once.
+CHUNK = 65_536
 
 
 def target_steps(weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> list[tuple[str, str]]:
@@ -42,18 +50,17 @@ def target_steps(weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> list[
     ]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken and source of every row of docs."""
-    spark = docs.sparkSession
-    import uuid
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
 
-    mark = uuid.uuid4().hex[:12]
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    rows = checkpoint(rows.withColumn("u", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)))
-    rows.createOrReplaceTempView(f"sized_{mark}")
+def source_targets(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """(source, source_size, target, whole, rest) from sized (source, size): whole repetitions and the words beyond them."""
+    spark, mark = sized.sparkSession, uuid.uuid4().hex[:12]
+    names = ["sized", *(n for n, _ in target_steps())]
+    sized.createOrReplaceTempView(f"sized_{mark}")
     for name, text in target_steps(weights, share, cap):
-        for other in ("sized", "sources", "placed", "weighed", "ordered", "summed", "level", "water"):
+        for other in names:
             for word in ("FROM", "JOIN"):
                 text = text.replace(f"{word} {other} ", f"{word} {other}_{mark} ")
                 if text.endswith(f"{word} {other}"):
@@ -64,45 +71,101 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
         found.createOrReplaceTempView(f"{name}_{mark}")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).otherwise(0)
     targets = checkpoint(spark.table(f"targets_{mark}").withColumn("whole", whole).withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
-    for name in ("sized", *(n for n, _ in target_steps())):
+    for name in names:
         spark.catalog.dropTempView(f"{name}_{mark}")
-    from pyspark.sql import Window as W
-
-    cells = rows.groupBy("source", F.substring("u", 1, 2).alias("a"), F.substring("u", 3, 2).alias("b")).agg(F.sum("size").alias("n"))
-    cells = checkpoint(cells)
-    before = lambda part, by: F.coalesce(F.sum("n").over(W.partitionBy(*part).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    high = cells.groupBy("source", "a").agg(F.sum("n").alias("n")).select("source", "a", before(["source"], "a").alias("over_a"))
-    low = cells.select("source", "a", "b", before(["source", "a"], "b").alias("over_b"))
-    same = lambda x, y, *more: [x["source"].eqNullSafe(y["source"]), *(x[c] == y[c] for c in more)]
-    offsets = low.join(high, same(low, high, "a")).select(low["source"], low["a"], low["b"], (F.col("over_a") + F.col("over_b")).alias("over"))
-    offsets = offsets.join(targets, same(offsets, targets)).select(offsets["source"], "a", "b", "over", "source_size", "target", "whole", "rest")
-    keyed = rows.withColumns({"a": F.substring("u", 1, 2), "b": F.substring("u", 3, 2)})
-    order = W.partitionBy("source", "a", "b").orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    inside = keyed.withColumn("prior", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    joined = inside.join(offsets, same(inside, offsets, "a", "b"))
-    extra = F.greatest(F.lit(0), F.least(inside["size"], F.col("rest") - F.col("over") - F.col("prior")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), inside["source"])
-
-
-def mixed_rows(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", id_col: str = "doc_id", **options) -> DataFrame:
+    return targets
+
+
+def _same(x: DataFrame, y: DataFrame, *more: str) -> list[Column]:
+    return [x["source"].eqNullSafe(y["source"]), *(x[c] == y[c] for c in more)]
+
+
+def _before(part: list[str], *by: str) -> Column:
+    """The sum of n over the rows of the partition before this one."""
+    return F.coalesce(F.sum("n").over(W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, h, copies, source_size, target, whole, extra): a row for each distinct id, source and text (hash h).
+
+    ``extra`` words are to be taken of its copies beyond ``whole`` repetitions of each.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_of(text_col)).alias("h"))
+    u = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+    rows = checkpoint(rows.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies")).withColumn("u", u).withColumn("n", F.col("copies") * F.col("size")))
+    targets = source_targets(rows.select("source", F.col("n").alias("size")), weights, share, cap)
+    ids = checkpoint(rows.groupBy("source", "u").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).withColumns({"a": F.substring("u", 1, 2), "b": F.substring("u", 3, 2)}))
+    cells = checkpoint(ids.groupBy("source", "a", "b").agg(F.sum("n").alias("n")))
+    high = cells.groupBy("source", "a").agg(F.sum("n").alias("n")).select("source", "a", _before(["source"], "a").alias("over_a"))
+    low = cells.select("source", "a", "b", _before(["source", "a"], "b").alias("over_b"))
+    offsets = low.join(high, _same(low, high, "a")).select(low["source"], low["a"], low["b"], (F.col("over_a") + F.col("over_b")).alias("over"))
+    offsets = offsets.join(targets, _same(offsets, targets)).select(offsets["source"], "a", "b", "over", "source_size", "target", "whole", "rest")
+    inside = ids.withColumn("prior", _before(["source", "a", "b"], "u"))
+    placed = inside.join(offsets, _same(inside, offsets, "a", "b")).select(inside["source"], "u", "texts", "source_size", "target", "whole", (F.col("rest") - F.col("over") - F.col("prior")).alias("left"))
+    columns = ["doc_id", rows["source"], "size", "h", "copies", "n", rows["u"], "texts", "source_size", "target", "whole", "left"]
+    joined = rows.join(placed, _same(rows, placed, "u")).select(*columns)
+    if not ids.where("texts > 1").isEmpty():  # rows of one id but of several texts
+        joined = checkpoint(joined)
+        many = joined.where("texts > 1").withColumn("c", F.pmod(F.col("h"), F.lit(1024)))
+        parts = many.groupBy("source", "u", "c").agg(F.sum("n").alias("n"))
+        parts = parts.select("source", "u", "c", _before(["source", "u"], "c").alias("over"))
+        many = many.withColumn("prior", _before(["source", "u", "c"], "size", "h"))
+        left = (F.col("left") - F.col("over") - F.col("prior")).alias("left")
+        many = many.join(parts, _same(many, parts, "u", "c")).select(*(many[c] for c in joined.columns[:-1]), left)
+        joined = joined.where("texts = 1").unionByName(many)
+    extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("left"))).cast("long")
+    return joined.select("doc_id", "source", "size", "h", "copies", "source_size", "target", "whole", extra.alias("extra"))
+
+
+def _taken(copy: Column) -> Column:
+    """The words taken of one of a row's copies, numbered from 0."""
+    return (F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - copy * F.col("size")))).cast("long")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken and source of every row of docs; options as those of plan."""
+    found = plan(docs, **options)
+    first = found.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(CHUNK).cast("long"))))
+    each = first.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK, F.col("copies")) - 1)))
+    return each.select("doc_id", "size", "source_size", "target", _taken(F.col("copy")).alias("taken"), "source")
+
+
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with ``copy``, their number from 0 among those of equal keys. Each task's share of a key is numbered apart."""
+    held = stored(rows.withColumn("at", F.monotonically_increasing_id()), "numbered")  # stored, so that numbers stay
+    held = held.withColumn("task", F.shiftrightunsigned("at", 33))
+    counts = held.groupBy(*keys, "task").agg(F.count("*").alias("n"))
+    counts = counts.select(*(F.col(k).alias(f"k_{k}") for k in keys), F.col("task").alias("k_task"), _before(list(keys), "task").alias("over"))
+    inside = held.withColumn("place", F.row_number().over(W.partitionBy(*keys, "task").orderBy("at")) - 1)
+    match = [inside[k].eqNullSafe(counts[f"k_{k}"]) for k in (*keys, "task")]
+    return inside.join(counts, match).select(*rows.columns, (F.col("place") + F.col("over")).cast("long").alias("copy"))
+
+
+def mixed_rows(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """docs as the mix takes them: a row for each whole repetition and one with the first words of a part repetition.
 
-    Rows are matched to the mix by id and size; ``count_col``, where it is a column, gets the number of code points.
+    ``count_col``, where it is a column, gets the number of code points. Rows are known by id, source and text; a row
+    without words stays once.
     """
-    plan = mix(docs, text_col=text_col, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    once = plan.groupBy("_id", "_size").agg(F.sum("_taken").alias("_all"), F.count("*").alias("_rows"))
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn("_words", size)
-    joined = sized.join(once, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    # Equal ids and sizes share their words evenly; the remainder of the division is below a word a row.
-    joined = joined.withColumn("_taken", F.ceil(F.col("_all") / F.col("_rows")))
-    copies = F.when(F.col("_words") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_taken") / F.nullif(F.col("_words"), F.lit(0)))), lambda i: F.least(F.col("_words"), F.col("_taken") - i * F.col("_words"))), lambda n: n > 0))
-    rows = joined.withColumn("_n", F.explode(copies))
-    rows = rows.withColumn("_part", F.when(F.col("_n") < F.col("_words"), F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("_n").cast("int")), "")))
-    changed = {text_col: F.coalesce("_part", F.col(text_col))}
+    found = plan(docs, text_col=text_col, id_col=id_col, source_col=source_col, **options)
+    found = stored(found.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("h").alias("p_h"), "size", "copies", "whole", "extra"), "plan")
+    rows = boxed(docs, doc_id=F.col(id_col).cast("long"), source=F.col(source_col).cast("string"), h=F.xxhash64(text_of(text_col)))
+    match = [rows["doc_id"].eqNullSafe(found["p_id"]), rows["source"].eqNullSafe(found["p_source"]), rows["h"] == found["p_h"]]
+    joined = rows.join(found, match)
+    shown = ["row", "size", "whole", "extra", "copy"]
+    each = joined.where("copies = 1").withColumn("copy", F.lit(0).cast("long")).select(*shown)
+    if not found.where("copies > 1").isEmpty():
+        each = each.unionByName(numbered(joined.where("copies > 1"), "doc_id", "source", "h").select(*shown))
+    times = F.sequence(F.lit(0).cast("long"), F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0))))
+    parts = F.filter(F.transform(times, lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size"))), lambda n: n > 0)
+    each = each.withColumn("taken", _taken(F.col("copy"))).withColumn("words", F.explode(F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(parts)))
+    text = F.col("row").getField(text_col)
+    part = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), ""))
+    each = each.withColumn("part", part)
+    changed = {text_col: F.coalesce("part", text)}
     if count_col in docs.columns:
-        changed[count_col] = F.when(F.col("_part").isNotNull(), F.length("_part").cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
-    return rows.withColumns(changed).select(*docs.columns)
+        changed[count_col] = F.when(F.col("part").isNotNull(), F.length("part").cast(docs.schema[count_col].dataType)).otherwise(F.col("row").getField(count_col))
+    return each.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +173,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them, repetitions as rows; see mixed_rows."""
     return mixed_rows(docs)
 
 
