@@ -8,20 +8,25 @@ chosen on a fifth of the sample. The rules with weight become one Spark column e
 
 Only rows whose crc32(doc_id as text) mod 3 is not 1 are used for fitting, and only their statistics.
 
+The fit runs in one task, on the bounded sample alone; the driver gets the fitted rules. ``good_rows`` writes rows and
+statistics once and reads them back twice, so texts are scanned by Python once and never shuffled.
+
 Nulls and edge cases: a null text is empty and scored like any other; a null doc_id is not held out and never labelled; repeated
 labels of a document count as their majority (ties: 1); without labels of both classes the score is the smoothed share of
-label 1. Repeated rows are returned each. An empty table gives an empty result.
+label 1. Repeated rows are returned each. An empty table gives an empty result. Columns of the input may have any names.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import checkpoint, documents, narrow_batches, table, text_of
+from kgloom.llm.common import boxed, checkpoint, documents, narrow_batches, stored, table, text_of
 
 STATS = ("log_words", "log_chars", "word_chars", "upper", "digits", "symbols", "bars", "stops", "high", "lines", "line_words", "same_lines", "same_words", "same_triples", "top_word", "short_words", "long_words", "upper_words", "symbol_words", "packed")
 KIND = pa.struct([(n, pa.float64()) for n in STATS])
@@ -187,6 +192,16 @@ class Rules:
             if abs(w[n + i]) > 1e-6:
                 self.linear.append((int(j), float(low[j]), float(high[j]), float(0.4 * w[n + i] / spread[j])))
 
+    def to_json(self) -> str:
+        return json.dumps([self.constant, self.rules, self.weights, self.linear])
+
+    @classmethod
+    def from_json(cls, text: str) -> Rules:
+        found = cls.__new__(cls)
+        found.constant, rules, found.weights, linear = json.loads(text)
+        found.rules, found.linear = [tuple(map(tuple, r)) for r in rules], [tuple(x) for x in linear]
+        return found
+
     def scores(self, x):
         import numpy as np
 
@@ -223,9 +238,21 @@ def training_rows(stats: DataFrame, labels: DataFrame, most: int, label_col: str
 
 
 def fit(stats: DataFrame, labels: DataFrame, train_rows: int = 8000, label_col: str = "quality") -> Rules:
-    """Fit on stats (doc_id, stats) and labels."""
-    rows = training_rows(stats, labels, train_rows, label_col).select("stats.*", "y").toPandas()
-    return Rules(rows[list(STATS)].to_numpy(), rows["y"].to_numpy())
+    """Fit on stats (doc_id, stats) and labels, in one task; of all rows only the sample goes there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) for b in batches if b.num_rows]
+        if held:
+            x = np.concatenate(held)
+            x = x[np.lexsort(x.T[::-1])]  # the same fit whatever order the rows come in
+            x = x[np.random.default_rng(2).permutation(len(x))]
+            yield pa.RecordBatch.from_arrays([pa.array([Rules(x[:, :-1], x[:, -1]).to_json()])], names=["rules"])
+
+    rows = training_rows(stats, labels, train_rows, label_col).select("stats.*", "y").coalesce(1)
+    found = rows.mapInArrow(run, "rules string").head()
+    return Rules.from_json(found["rules"]) if found else Rules([], [])
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,10 +267,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 8000) -
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def good_rows(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores 0.5 or more; all columns stay."""
-    rules = fit(document_stats(docs, text_col=text_col), labels, train_rows)
-    return docs.withColumn("_stats", stats_column(text_of(text_col))).where(rules.column("_stats") >= 0.5).select(*docs.columns)
+def good_rows(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores 0.5 or more, as they are, whatever their columns are called."""
+    narrow_batches(docs.sparkSession)
+    rows = stored(boxed(docs, doc_id=F.col(id_col).cast("long"), stats=stats_column(text_of(text_col))), "scored")
+    rules = fit(rows.select("doc_id", "stats"), labels, train_rows)
+    return rows.where(rules.column("stats") >= 0.5).select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +280,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of good quality; null and empty texts are judged like any other, and repeated rows each."""
     return good_rows(docs, table(spark, sf_dir, "labels"))
 
 
