@@ -10,8 +10,10 @@ in memory, block by block, and yields a star of links for each connected part, n
 another exact way: fingerprints at distance 2 or less share a word at distance 1 or less from both, so each member names
 its 65 such words and members meet at the words. Groups are the connected components of all links.
 
-The pipeline's stage takes five-word shingles and Jaccard similarity 0.8 (``one_of_similar``): wide prints of several
-fingerprints find candidates, whose shingles are then compared.
+The pipeline's stage takes five-word shingles and Jaccard similarity 0.8 (``one_of_similar``). No family of covering masks
+reaches that far (such pairs differ in some 15 % of their bits), so wide prints of several fingerprints are cut into
+samples of bits, each anchored at a least shingle hash, so that buckets hold texts that share text whatever the size of the
+corpus. Candidates are then compared on their shingles.
 
 Nulls and edge cases: a null text is empty; a text without words has fingerprint zero, linked like any other; a null
 doc_id takes part but never names a component unless its group has no other id. Repeated rows are returned each. An
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows, stored, text_of
+from kgloom.llm.common import boxed, checkpoint, documents, id_and_text, map_rows, stored, text_of
 from kgloom.llm.suffix_dedup import mixed
 from kgloom.operators.components import connected_components
 
 BITS = 64
-#: Wide prints of whole stages: bits, samples, bits of a sample, greatest distance, and the shingles of a short text.
-WIDE, TABLES, TAKEN, RADIUS, FEW = 256, 64, 16, 80, 40
+#: Wide prints of whole stages: bits, tables, bits of a sample, greatest distance, the shingles of a short text, and the
+#: tables into which an overfull bucket is dealt again.
+WIDE, TABLES, TAKEN, RADIUS, FEW, AGAIN = 256, 32, 8, 80, 40, 12
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -143,21 +146,26 @@ def text_key(text_col: str) -> Column:
 def one_row_each(docs: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each group of texts; all columns stay. roots: (h, root) for texts that are in a group with others.
 
-    A row is known by its id and text. The least id is kept, null ids last; rows without id count by their texts.
+    A row is known by its id and text. The least id is kept, null ids last; rows without id count by their texts. Of rows
+    that repeat both id and text any one stays.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     named = rows.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "n")
-    kept = stored(named.groupBy("root").agg(F.min(place).alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h"), F.col("best.n").alias("_n")), "kept")
-    match = lambda k: docs[id_col].cast("long").eqNullSafe(k["_id"]) & (text_key(text_col) == k["_h"])
-    single, repeated = kept.where("_n = 1"), kept.where("_n > 1")
-    again = docs.join(repeated, match(repeated), "left_semi").withColumn("_h", text_key(text_col)).dropDuplicates([id_col, "_h"]).drop("_h")
-    return docs.join(single, match(single), "left_semi").unionByName(again)
+    kept = stored(named.groupBy("root").agg(F.min(place).alias("best")).select(F.col("best.doc_id").alias("i"), F.col("best.h").alias("k"), F.col("best.n").alias("n")), "kept")
+    held = boxed(docs, doc_id=F.col(id_col).cast("long"), h=text_key(text_col))
+    match = lambda some: held["doc_id"].eqNullSafe(some["i"]) & (held["h"] == some["k"])
+    single, repeated = kept.where("n = 1"), kept.where("n > 1")
+    found = held.join(single, match(single), "left_semi").select("row.*")
+    if repeated.isEmpty():  # as a rule: then texts are shuffled once
+        return found
+    return found.unionByName(held.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One row of docs for each group of near_duplicates; all columns stay."""
-    prints = checkpoint(fingerprints(docs.withColumn("_h", text_key(text_col)), "_h", text_col, width).select(F.col("doc_id").alias("h"), "fp").distinct())
+    texts = docs.select(text_key(text_col).alias("h"), F.col(text_col).alias("text"))
+    prints = checkpoint(fingerprints(texts, "h", "text", width).select(F.col("doc_id").alias("h"), "fp").distinct())
     linked = connected_components(links(prints.select("fp").distinct(), radius, most), "u", "v", checkpoint)
     roots = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("h", F.coalesce("root", "fp").alias("root"))
     return one_row_each(docs, roots, id_col, text_col)
@@ -185,16 +193,29 @@ def wide_bits(hashes):
     return (2 * ones > len(hashes)).astype(np.uint8)
 
 
+def least_of_bins(hashes):
+    """The least hash in each of TABLES ranges of hashes (sorted, distinct); an empty range takes that of another one, tried
+    in an order of its own. Two sets agree in a range with the probability of their Jaccard similarity."""
+    import numpy as np
+
+    edges = np.append(np.searchsorted(hashes, np.arange(TABLES, dtype=np.uint64) * np.uint64((1 << 64) // TABLES)), len(hashes))
+    tries = np.stack([np.r_[t, np.random.default_rng(t).permutation(TABLES)] for t in range(TABLES)])
+    taken = tries[np.arange(TABLES), (edges[1:] > edges[:-1])[tries].argmax(1)]
+    return hashes[edges[taken]]
+
+
 def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(h, f, keys) of rows (h, text): the bits as four longs, and the keys under which the text is compared."""
+    """(h, f, keys, more, least) of rows (h, text): the print as four longs, the keys of TABLES buckets in which the text is
+    compared, the same number of values that divide a bucket further, and for short texts the shingles they also meet at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         places = np.stack([np.random.default_rng(t).choice(WIDE, TAKEN, replace=False) for t in range(TABLES)])
-        powers, had = 1 << np.arange(TAKEN), set()
+        powers, tables, had = 1 << np.arange(TAKEN), np.arange(TABLES) << TAKEN, set()
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            hs, prints, keys = [], [], []
+            out = []
             for h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if h in had:  # an exact copy
                     continue
@@ -203,16 +224,16 @@ def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
                 had.add(h)
                 found = shingle_hashes(text, width)
                 bits = wide_bits(found)
-                own = (bits[places] @ powers) + (np.arange(TABLES) << TAKEN)
-                if len(found) <= FEW:  # two sets within the threshold share one of so many least hashes
-                    own = np.concatenate([own, found[: len(found) - math.ceil(threshold * len(found)) + 1].view(np.int64)])
-                hs.append(h)
-                prints.append(np.packbits(bits, bitorder="little").view(np.int64))
-                keys.append(own)
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["h", "f", "keys"])
+                sample, least = bits[places] @ powers, least_of_bins(found)
+                keys, more = mixed(least ^ mixed((sample + tables + 1).astype(np.uint64))), mixed(least + (sample % 16).astype(np.uint64))
+                # two sets within the threshold share one of so many least hashes
+                short = found[: len(found) - math.ceil(threshold * len(found)) + 1] if len(found) <= FEW else found[:0]
+                out.append((h, np.packbits(bits, bitorder="little").view(np.int64), keys.view(np.int64), more.view(np.int64), short.view(np.int64)))
+            if out:
+                h, *arrays = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array(x, longs) for x in arrays)], names=["h", "f", "keys", "more", "least"])
 
-    return rows.select("h", "text").mapInArrow(run, "h long, f array<long>, keys array<long>")
+    return rows.select("h", "text").mapInArrow(run, "h long, f array<long>, keys array<long>, more array<long>, least array<long>")
 
 
 def _apart(x, i):
@@ -249,34 +270,62 @@ def near_pairs(h, x, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def candidates(rows: DataFrame, width: int, threshold: float, most: int = 4096) -> DataFrame:
-    """(u, v): pairs of texts (keys h) to be compared. Buckets over ``most`` are taken in runs that share their first member
-    and the last one of the run before."""
+PRINT = tuple(f"f{i}" for i in range(WIDE // BITS))
+
+
+def bucket_pairs(each: DataFrame) -> DataFrame:
+    """(u, v): the pairs of near_pairs in each bucket (key, part) of rows (key, part, h, f0, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for key, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            pairs = []
+            for held in batch.column(0):
                 flat = held.values
                 h, first = np.unique(flat.field("h").to_numpy(), return_index=True)
-                if len(h) < 2:
-                    continue
-                x = np.stack([flat.field(f"f{i}").to_numpy() for i in range(WIDE // BITS)], axis=1)[first].view(np.uint64)
-                if len(h) > most:
-                    order = np.argsort(x[:, key % x.shape[1]], kind="stable")
-                    h, x = h[order], x[order]
-                pairs = []
-                for at in range(0, len(h), most):
-                    take = np.unique(np.r_[0, max(at - 1, 0) : min(at + most, len(h))])
-                    pairs += near_pairs(h[take], x[take], RADIUS)
-                if pairs:
-                    u, v = np.sort(np.array(pairs, np.int64), axis=1).T
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    each = sketches(rows, width, threshold).select("h", *(F.col("f")[i].alias(f"f{i}") for i in range(WIDE // BITS)), F.explode("keys").alias("key"))
-    buckets = each.groupBy("key").agg(F.collect_list(F.struct("h", *(f"f{i}" for i in range(WIDE // BITS)))).alias("held")).where(F.size("held") > 1)
-    return buckets.mapInArrow(run, "u long, v long").distinct()
+                if len(h) > 1:
+                    pairs += near_pairs(h, np.stack([flat.field(f).to_numpy() for f in PRINT], axis=1)[first].view(np.uint64), RADIUS)
+            if pairs:
+                u, v = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    buckets = each.groupBy("key", "part").agg(F.collect_list(F.struct("h", *PRINT)).alias("held")).where(F.size("held") > 1).select("held")
+    return buckets.mapInArrow(run, "u long, v long")
+
+
+def overfull(each: DataFrame, most: int) -> DataFrame:
+    """(key, n) of the buckets of over ``most`` rows, as a table whose size is known when it is joined."""
+    return stored(each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "overfull")
+
+
+def candidates(rows: DataFrame, width: int, threshold: float, most: int = 4096) -> DataFrame:
+    """(u, v): pairs of texts (keys h) to be compared.
+
+    A bucket of over ``most`` texts is dealt again by AGAIN further values of its members, of which pairs within the
+    threshold share one with high probability. What is overfull even then (many texts that are all alike) is compared in parts of
+    about ``most`` texts, each together with four texts that are the same for all parts of the bucket. So no task holds
+    an unbounded group.
+    """
+    found = stored(sketches(rows, width, threshold), "sketches")
+    longs = [F.col("f")[i].alias(f) for i, f in enumerate(PRINT)]
+    keyed = found.select("h", *longs, "more", F.posexplode("keys").alias("t", "key"))
+    short = found.select("h", *longs, "more", F.lit(0).alias("t"), F.explode("least").alias("key"))
+    keyed = keyed.unionByName(short)
+    full = overfull(keyed, most)
+    if full.isEmpty():
+        return bucket_pairs(keyed.select("key", F.lit(0).alias("part"), "h", *PRINT)).distinct()
+    pairs = bucket_pairs(keyed.join(full, "key", "left_anti").select("key", F.lit(0).alias("part"), "h", *PRINT))
+    deal = F.transform(F.sequence(F.lit(1), F.lit(AGAIN)), lambda u: F.xxhash64("key", u, F.get("more", (F.col("t") + u) % TABLES)))
+    finer = stored(keyed.join(full.select("key"), "key").select("h", *PRINT, F.explode(deal).alias("key")), "finer")
+    still = overfull(finer, most)
+    pairs = pairs.unionByName(bucket_pairs(finer.join(still, "key", "left_anti").select("key", F.lit(0).alias("part"), "h", *PRINT)))
+    crowd = finer.join(still, "key").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    hubs = crowd.groupBy("key", "parts").agg(*(F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("r"), "h", *PRINT)).alias(f"b{i}") for i in range(4)))
+    hubs = hubs.select("key", "parts", F.explode(F.array(*(f"b{i}" for i in range(4)))).alias("b"))
+    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b.h", *(F.col(f"b.{f}").alias(f) for f in PRINT))
+    dealt = crowd.select("key", F.pmod(F.xxhash64("h", F.lit(9)), F.col("parts")).cast("int").alias("part"), "h", *PRINT)
+    return pairs.unionByName(bucket_pairs(dealt.unionByName(hubs))).distinct()
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -293,13 +342,15 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
 def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, root): texts (by text_key) that pairs of this Jaccard similarity of word shingles connect, and one text of each group.
 
-    Candidates have two wide SimHash prints that agree in one of TABLES samples of TAKEN bits and differ in up to RADIUS
-    bits; texts of up to FEW shingles also meet at shingles, where no pair is missed. All are checked on the shingles.
+    Candidates agree in one of TABLES buckets, each of a least shingle hash and TAKEN bits of the wide SimHash print, and
+    differ in up to RADIUS bits: a pair just at 0.8 does so with probability 0.999. Texts of up to FEW shingles
+    also meet at shingles, where no pair is missed. All candidates are checked on their shingles.
     """
     rows = id_and_text(docs, id_col, text_col).select(F.xxhash64("text").alias("h"), "text")
     pairs = stored(candidates(rows, width, threshold), "pairs")
     needed = stored(pairs.select("u").union(pairs.select("v")).distinct().toDF("h"), "needed")
-    sets = stored(shingle_sets(rows.join(needed, "h", "left_semi").dropDuplicates(["h"]), width), "sets")
+    texts = rows.dropDuplicates(["h"]).join(needed, "h", "left_semi")  # copies go in their tasks, before any shuffle
+    sets = stored(shingle_sets(texts, width), "sets")
     of = lambda c: sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
     both = F.size(F.array_intersect("su", "sv"))
     alike = pairs.join(of("u"), "u").join(of("v"), "v").where(both / (F.size("su") + F.size("sv") - both) >= threshold)
@@ -316,6 +367,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8); see one_row_each for ids and repeats."""
     return one_of_similar(docs)
 
 
