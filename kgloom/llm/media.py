@@ -1,9 +1,13 @@
 """Operator 9: media columns as interleaved document sequences.
 
 ``sequences`` parses HTML into an ordered array of items: text blocks and media references, each with its position, a
-reference with its source and caption (the figcaption of its figure, else alt or title). ``resolved`` joins the
-references with a table of payloads by digest and puts them back at their positions, captions beside them; references whose digest
-is unknown stay, unresolved.
+reference with its source and caption (the figcaption of its figure, wherever it stands there, else alt or title; a
+figcaption without media is a text item). ``resolved`` joins the references with a table of payloads by digest and puts them
+back at their positions, captions beside them; references whose digest is unknown stay, unresolved.
+
+``document_media`` makes a page of each document: its lines, whole and in order, as blocks, and after half of them a figure with the
+document's payload as its medium. The page is parsed, its reference resolved, and the features of the payload are
+read from its place in the sequence.
 
 Payloads are stored as 8-bit grey images, 64 samples wide (binary PGM, the number of bytes before padding as a comment), in a
 Parquet table; rows are keyed by the SHA-256 of the payload. A task stores each payload once; copies from other tasks are
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows, narrow_batches, shared_dir, text_of
+from kgloom.llm.common import checkpoint, documents, id_and_text, map_rows, narrow_batches, shared_dir, stored, text_of
 
 WIDTH = 64
 #: Elements whose text is not shown, elements that end a text block, and elements that name media.
@@ -37,52 +42,85 @@ ITEM = "struct<pos: int, kind: string, text: string, ref: string, caption: strin
 ITEM_TYPE = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 
 
+SPACES = re.compile(r"[\t\n\f\r ]+")
+
+
 class _Items(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items, self.words, self.hidden = [], [], 0
-        self.figures, self.caption = [], None  # places of media in each open figure; the words of an open caption
+        self.figures, self.caption = [], None  # for each open figure the places of its media and its captions; the words of an open caption
 
-    def block(self) -> None:
-        text = " ".join("".join(self.words).split())
-        self.words = []
+    def block(self, words: list[str] | None = None) -> None:
+        text = SPACES.sub(" ", "".join(self.words if words is None else words)).strip(" ")
+        if words is None:
+            self.words = []
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in HIDDEN:
             self.hidden += 1
-        elif tag in BLOCKS:
-            self.block()
-            if tag == "figure":
-                self.figures.append([])
         elif tag == "figcaption":
+            self.close_caption()
             self.block()
             self.caption = []
+        elif tag in BLOCKS:
+            if tag == "figure":
+                self.close_caption()
+            self.boundary()
+            if tag == "figure":
+                self.figures.append(([], []))
         elif tag in MEDIA and not self.hidden:
             at = dict(attrs)
             if at.get("src"):
                 self.block()
                 if self.figures:
-                    self.figures[-1].append(len(self.items))
+                    self.figures[-1][0].append(len(self.items))
                 self.items.append({"kind": "media", "text": None, "ref": at["src"], "caption": at.get("alt") or at.get("title") or None})
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
+        elif tag == "figcaption":
             self.close_caption()
         elif tag in BLOCKS:
-            self.close_caption()
+            if tag == "figure":
+                self.close_figure()
+            else:
+                self.boundary()
+
+    def boundary(self) -> None:
+        """A block begins or ends; inside a caption that is a space."""
+        if self.caption is None:
             self.block()
-            if tag == "figure" and self.figures:
-                self.figures.pop()
+        else:
+            self.caption.append(" ")
 
     def close_caption(self) -> None:
         if self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for at in self.figures[-1] if self.figures else []:
+            words, self.caption = self.caption, None
+            if self.figures:
+                self.figures[-1][1].append("".join(words))
+            else:
+                self.block(words)
+
+    def close_figure(self) -> None:
+        self.close_caption()
+        self.block()
+        if self.figures:
+            media, captions = self.figures.pop()
+            text = SPACES.sub(" ", " ".join(captions)).strip(" ")
+            for at in media:
                 self.items[at]["caption"] = text or self.items[at]["caption"]
+            if not media:
+                self.block([text])
+
+    def close_all(self) -> None:
+        while self.figures:
+            self.close_figure()
+        self.close_caption()
+        self.block()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -94,8 +132,7 @@ def parse_items(text: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(text or "")
     parser.close()
-    parser.close_caption()
-    parser.block()
+    parser.close_all()
     return [{"pos": i, **x} for i, x in enumerate(parser.items)]
 
 
@@ -107,23 +144,23 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return map_rows(rows, f"id long, items array<{ITEM}>", pa.schema([("id", pa.int64()), ("items", pa.list_(ITEM_TYPE))]), make)
 
 
-def references(found: DataFrame) -> DataFrame:
-    """(id, pos, digest, caption) of the media items whose source is ``sha256:`` and a digest."""
-    media = found.select("id", F.explode("items").alias("x")).where("x.kind = 'media' AND x.ref LIKE 'sha256:%'")
-    return media.select("id", "x.pos", F.substring("x.ref", 8, 64).alias("digest"), "x.caption")
-
-
-def resolved(found: DataFrame, payloads: DataFrame) -> DataFrame:
+def resolved(found: DataFrame, payloads: DataFrame, texts: bool = True) -> DataFrame:
     """(id, items): the sequences with the payload row (all columns but digest) of each media item as ``payload``.
 
-    payloads has one row for each digest. Positions and captions stay as parsed.
+    payloads has one row for each digest; a source ``sha256:`` and a digest refers to it. Positions and captions stay as parsed.
+    Without ``texts`` the text items keep their places but not their words, which then do not travel.
     """
     columns = [c for c in payloads.columns if c != "digest"]
+    text = F.col("x.text") if texts else F.lit(None).cast("string")
     rows = found.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.explode_outer("items").alias("x"))
-    rows = rows.withColumn("digest", F.when(F.col("x.ref").startswith("sha256:"), F.substring("x.ref", 8, 64)))
-    joined = rows.join(payloads.select("digest", F.struct(*columns).alias("payload")), "digest", "left")
-    item = F.struct("x.pos", "x.kind", "x.text", "x.ref", "x.caption", "payload")
-    return joined.groupBy("row", "id").agg(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), item))).alias("items")).select("id", "items")
+    rows = stored(rows.select("id", "row", "x.pos", "x.kind", text.alias("text"), "x.ref", "x.caption"), "items")  # stored, so that row numbers stay
+    item = F.struct("pos", "kind", "text", "ref", "caption", "payload")
+    digest = F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64))
+    media = rows.where(F.col("ref").startswith("sha256:")).withColumn("digest", digest)
+    media = media.join(payloads.select("digest", F.struct(*columns).alias("payload")), "digest", "left").select("row", "id", F.when(F.col("kind").isNotNull(), item).alias("item"))
+    kind = media.schema["item"].dataType["payload"].dataType
+    rest = rows.where("ref IS NULL OR NOT startswith(ref, 'sha256:')").withColumn("payload", F.lit(None).cast(kind)).select("row", "id", F.when(F.col("kind").isNotNull(), item).alias("item"))
+    return media.unionByName(rest).groupBy("row", "id").agg(F.array_sort(F.collect_list("item"), lambda x, y: x["pos"] - y["pos"]).alias("items")).select("id", "items")
 
 
 def payload_of(text: str) -> bytes:
@@ -157,29 +194,44 @@ def feature(samples: bytes) -> str:
     return f"{bits}-{x.mean():.4f}-{x.std():.4f}"
 
 
-def store_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write (doc_id, html, digest, image) below path and read it back; a task leaves image null for payloads it has stored."""
+def page_of(text: str) -> str:
+    """A page with the lines of a text as blocks and, after half of them, its payload as a figure."""
+    lines = text.split("\n")
+    half, n_bytes = len(lines) // 2, len(text.encode())
+    block = lambda some: "".join(f"<p>{html.escape(x, quote=False)}</p>" for x in some)
+    figure = f'<figure><img src="sha256:{hashlib.sha256(payload_of(text)).hexdigest()}"><figcaption>{n_bytes} bytes in {len(lines)} lines</figcaption></figure>'
+    return f"<article>{block(lines[:half])}{figure}{block(lines[half:])}</article>"
+
+
+def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, html): the page of every document."""
+    make = lambda: lambda columns: [columns[0], [page_of(t) for t in columns[1]]]
+    return map_rows(id_and_text(docs, id_col, text_col), "doc_id long, html string", pa.schema([("doc_id", pa.int64()), ("html", pa.string())]), make)
+
+
+def store_payloads(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write (digest, image) below path and read it back; a task leaves out payloads that it has stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored: set[bytes] = set()
+        had: set[bytes] = set()
         for batch in batches:
-            pages, digests, images = [], [], []
+            digests, images = [], []
             for text in batch.column(1).to_pylist():
                 payload = payload_of(text)
                 digest = hashlib.sha256(payload)
-                title = html.escape(text[:80].split("\n")[0])
-                pages.append(f'<article><p>{title}</p><figure><img src="sha256:{digest.hexdigest()}"><figcaption>{title}</figcaption></figure></article>')
-                digests.append(digest.hexdigest())
-                images.append(None if digest.digest() in stored else to_image(payload, len(text.encode())))
-                if len(stored) < 500_000:
-                    stored.add(digest.digest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages), pa.array(digests), pa.array(images, pa.binary())], names=["doc_id", "html", "digest", "image"])
-
-    id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, html string, digest string, image binary").write.option("compression", "zstd").parquet(path)
+                if digest.digest() not in had:
+                    digests.append(digest.hexdigest())
+                    images.append(to_image(payload, len(text.encode())))
+                    if len(had) < 500_000:
+                        had.add(digest.digest())
+            if digests:
+                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(images, pa.binary())], names=["digest", "image"])
+
+    id_and_text(docs, id_col, text_col).mapInArrow(run, "digest string, image binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def payload_features(stored: DataFrame) -> DataFrame:
+def payload_features(images: DataFrame) -> DataFrame:
     """One row for each digest, computed from the stored images."""
 
     def make():
@@ -197,17 +249,16 @@ def payload_features(stored: DataFrame) -> DataFrame:
 
     fields = [("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    found = map_rows(stored.where("image IS NOT NULL").select("digest", "image"), schema, pa.schema(fields), make)
+    found = map_rows(images.select("digest", "image"), schema, pa.schema(fields), make)
     return found.groupBy("digest").agg(*(F.max(n).alias(n) for n, _ in fields[1:]))
 
 
 def document_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as an image, referenced from a page of its own; resolve the references; a row for each document."""
-    stored = store_documents(docs, path, id_col, text_col)
-    refs = references(sequences(stored, "doc_id", "html"))
-    features = checkpoint(payload_features(stored))  # apart from the join, so that a payload of very many documents can be split there
-    joined = refs.join(features, "digest")
-    return joined.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    features = checkpoint(payload_features(store_payloads(docs, path, id_col, text_col)))  # apart from the join, so that a payload of very many documents can be split there
+    found = resolved(sequences(document_pages(docs, id_col, text_col), "doc_id", "html"), features, texts=False)
+    media = found.select("id", F.size("items").alias("n_items"), F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("x"))
+    return media.select(F.col("id").alias("doc_id"), "x.payload.*", "x.pos", "x.caption", "n_items")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
