@@ -8,6 +8,9 @@ are computed anew from the edit until a whole token length of them agrees with t
 Two tokens may stand side by side if joining their histories of merges by rank never prefers a merge across the
 border; ``Coder.fits`` walks both histories from the latest merge back.
 
+The splitting pattern is applied by the ``regex`` module. Where a match holds a character that Python's character data do not
+know, its class may differ between that module and the tiktoken library, so the text is left to the library.
+
 Nulls: a null text is encoded as an empty one (no ids, the hashes of empty strings); repeated rows give repeated
 rows, an empty table an empty result. Long texts are encoded whole; a worker's cache of pre-tokens is bounded.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from itertools import chain
 
 import pyarrow as pa
@@ -127,19 +131,35 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Unsure(Exception):
+    """A match holds a character whose class the libraries may see differently."""
+
+
 class TextCoder:
     """Splits texts by a pattern and encodes each match on its own; matches are cached."""
 
     def __init__(self, ranks_file: str, pattern: str, most: int = 300_000):
         import regex
 
-        self.coder = Coder(read_ranks(ranks_file))
+        self.coder, self.pattern, self.library = Coder(read_ranks(ranks_file)), pattern, None
         self.find = regex.compile(pattern).findall
-        self.cache = Memo(lambda match: self.coder.encode(match.encode()), most)
+        self.cache = Memo(self._match, most)
         self.shown = {i: str(i) for i in self.coder.bytes_of}
 
+    def _match(self, match: str) -> list[int]:
+        if not match.isascii() and any(map("Cn".__eq__, map(unicodedata.category, match))):
+            raise Unsure
+        return self.coder.encode(match.encode())
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.find(text))))
+        try:
+            return list(chain.from_iterable(map(self.cache.__getitem__, self.find(text))))
+        except Unsure:
+            if self.library is None:
+                import tiktoken
+
+                self.library = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.coder.ranks, special_tokens={})
+            return self.library.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> bytes:
         return self.coder.decode(ids)

@@ -86,16 +86,16 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encode the chunks (texts between white space) that are not known."""
+        """Encode the chunks (texts between white space, as they stand) that are not known."""
         import numpy as np
 
         parts = {}
         for c in self.chunks.missing(chunks):
-            if c.isascii() and c.isalpha():
-                parts[c] = (c,)
+            if c.isascii():
+                parts[c] = (c.lower(),) if c.isalpha() else self.find(c.lower())
             elif self.common(c):
-                parts[c] = self.find(c)
-            else:  # the library's character classes may be of another Unicode version
+                parts[c] = self.find(unicodedata.normalize("NFC", c).lower())
+            else:  # the library's character data may be of another Unicode version
                 self.chunks.now[c] = self._library(c)
         new = list(self.words.missing({w for ws in parts.values() for w in ws}))
         if new:
@@ -114,7 +114,7 @@ class WordEncoder:
     def encode_all(self, texts: list[str], group: int = 512) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), group):
-            some = [None if not self.quick or any(x in t for x in self.odd) else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split() for t in texts[at : at + group]]
+            some = [None if not self.quick or any(x in t for x in self.odd) else t.split() for t in texts[at : at + group]]
             self._learn(set().union(*(x for x in some if x)))
             known = self.chunks.now.__getitem__
             out += [self._library(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts[at : at + group], some, strict=True)]
