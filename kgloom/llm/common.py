@@ -65,20 +65,37 @@ def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in columns.items()))
 
 
-def range_part(rows: DataFrame, id_col: str, parts: int) -> Column:
-    """The number of the id range, 0 to parts - 1 in ascending order (nulls first), that a row of rows belongs to.
+NULL_ID = -(1 << 63)
 
-    The cuts are approximate quantiles of the id column alone, so nothing else is read or computed to find them.
+
+class Ranges:
+    """Consecutive ranges of (id, tie), nulls first, found from approximate quantiles of the ids alone.
+
+    An id that fills several ranges is divided among them by its ties (signed 64-bit hashes), so that a hot one spreads. One
+    number for each range is held by the driver and sent to the tasks.
     """
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
-    cuts = rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("c")).head()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return F.lit(0)
-    held = F.array(*(F.lit(c) for c in cuts))
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
-    step = lambda at, n: F.when((at + n <= len(cuts)) & (F.get(held, at + n - 1) <= key), at + n).otherwise(at)
-    return F.aggregate(steps, F.lit(0), step)  # binary search over the cuts
+
+    def __init__(self, rows: DataFrame, id_col: str, parts: int):
+        key = F.coalesce(F.col(id_col), F.lit(NULL_ID))
+        shares = [i / parts for i in range(1, parts)]
+        cuts = rows.select(F.percentile_approx(key, shares, min(20 * parts, 1_000_000)).alias("c")).head()[0] if parts > 1 else []
+        self.cuts = sorted(cuts or [])
+
+    def of(self, ids, ties):
+        """The number of each row's range, from arrays of ids (NULL_ID for null) and ties."""
+        import numpy as np
+
+        if not isinstance(self.cuts, np.ndarray):
+            self.cuts = np.array(self.cuts, np.int64)
+        below, equal = np.searchsorted(self.cuts, ids, "left"), np.searchsorted(self.cuts, ids, "right")
+        spread = (np.asarray(ties, np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of the signed ties
+        own = (spread * (equal - below).astype(np.uint64)) >> np.uint64(32)
+        return np.where(equal > below, below + 1 + own.astype(np.int64), below)
+
+
+def id_array(column: pa.Array):
+    """A long column as an array, with NULL_ID for null."""
+    return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
 def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -12,8 +12,8 @@ have subsets that hold a few of their terms. Likeness is, at the density where i
 among the subsets that either text fills, for densities at which half of the subsets are filled; equal fingerprints have
 likeness 1. A text without terms in the band is fingerprinted by a hash of its text, so different texts of this kind differ.
 
-The edited text needs each document's successor by doc_id. Documents are dealt once into id ranges; the first document of
-each range is also dealt to the range before it. Ties of doc_id are ordered by a hash of the text; null ids come first; the last
+The edited text needs each document's successor by doc_id. Documents are dealt once into ranges of doc_id and text hash, each to
+a task of its own; the first document of each range is also dealt to the range before it. Ties of doc_id are ordered by a hash of the text; null ids come first; the last
 document's successor is the first one (itself, if alone).
 
 Null text: empty. Repeated rows follow one another and are each other's successors. Empty table: empty result.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, id_and_text, range_part
+from kgloom.llm.common import Ranges, documents, id_and_text, id_array
 
 #: A subset of density d holds one in 2^d terms of the lexicon; each density has EACH subsets.
 LEVELS, EACH = (1, 3, 5, 7, 9, 11), 12
@@ -145,38 +145,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """rows (part, extra, doc_id, tie, text) with each text compressed, as texts travel once."""
+def successors(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (doc_id, text) dealt into ranges, sorted, with the first of each range also at the end of the range before.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Columns: part, extra (true for the copied row), doc_id, tie, packed (the compressed text).
+    """
+    ranges = rows.sparkSession.sparkContext.broadcast(Ranges(rows, "doc_id", parts))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            key, tie = id_array(batch.column(0)), batch.column(1).to_numpy()
+            part = ranges.value.of(key, tie)
+            order = np.lexsort((tie, key, part))
+            heads = order[np.r_[True, np.diff(part[order]) > 0]] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(x[heads]) for x in (part, key, tie)], names=["part", "key", "tie"])
+
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("tie"))
+    heads = keyed.mapInArrow(first, "part long, key long, tie long").groupBy("part").agg(F.min(F.struct("key", "tie")).alias("k"))
+    heads = sorted((r["part"], r["k"]["key"], r["k"]["tie"]) for r in heads.collect())  # one row for each range
+    before = {(key, tie): heads[i - 1][0] for i, (_, key, tie) in enumerate(heads)}  # the first row's copy goes round to the last range
+    before = rows.sparkSession.sparkContext.broadcast(before)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdCompressor
 
         pack = ZstdCompressor(level=3).compress
         for batch in batches:
-            texts = pa.array([pack(t.encode()) for t in batch.column(4).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts], names=["part", "extra", "doc_id", "tie", "packed"])
-
-    return rows.mapInArrow(run, "part int, extra boolean, doc_id long, tie long, packed binary")
-
-
-def successors(rows: DataFrame, parts: int) -> DataFrame:
-    """rows (doc_id, text) dealt into id ranges, sorted, with the first of each range also at the end of the range before.
+            key, tie = id_array(batch.column(0)), batch.column(1).to_numpy()
+            out = []
+            for i, k, t, p, text in zip(batch.column(0).to_pylist(), key.tolist(), tie.tolist(), ranges.value.of(key, tie).tolist(), batch.column(2).to_pylist(), strict=True):
+                data = pack(text.encode())
+                out.append((p, False, i, t, data))
+                if (to := before.value.get((k, t))) is not None:
+                    out.append((to, True, i, t, data))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DEALT, strict=True)], schema=DEALT)
 
-    Columns: part, extra (true for the copied row), doc_id, tie, packed (the compressed text).
-    """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    keyed = rows.withColumn("key", key).withColumn("part", range_part(rows, "doc_id", parts))
-    heads = sorted(tuple(r) for r in keyed.groupBy("part").agg(F.min("key")).collect())  # one row for each range
-    copies = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}  # the first row's copy goes round to the last range
-    way = lambda part, extra: F.struct(part.alias("p"), F.lit(extra).alias("x"))
-    ways = F.array(way(F.col("part"), False))
-    if copies:
-        to = F.create_map(*(F.lit(x) for k, p in copies.items() for x in (k, p)))
-        ways = F.when(F.col("key").isin(list(copies)), F.array(way(F.col("part"), False), way(F.element_at(to, F.col("key")), True))).otherwise(ways)
-    dealt = keyed.select(F.explode(ways).alias("w"), "doc_id", F.xxhash64("text").alias("tie"), "text").select(F.col("w.p").alias("part"), F.col("w.x").alias("extra"), "doc_id", "tie", "text")
-    return packed(dealt).repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(deal, "part int, extra boolean, doc_id long, tie long, packed binary")
+    return dealt.repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "tie")
 
 
+DEALT = pa.schema([("part", pa.int32()), ("extra", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

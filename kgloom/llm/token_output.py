@@ -4,14 +4,16 @@ A shard file holds, in ascending doc_id order, the ids of its documents as raw l
 and an index that maps a document key to its place among them. The index is a minimal perfect hash: level by level, keys
 that have a bit of their own take it, the others go to the next level; the rank of a key's bit is its slot. A slot
 stores a 32-bit fingerprint of its key (a key that is not in the shard is found out with probability 1 - 2^-32), the
-offset and the length. So one access costs a few hash steps and one read, however many documents there are.
+offset and the length. So one access costs a few hash steps and one read, however many documents there are: an opened
+shard holds its index and reads the slice of each document that is asked for.
 
-Documents are encoded where they are read, travel once as compressed ids to the range of their doc_id, and are written
-by the task that sorts the range. A shard's name is its own, and the manifest (a Parquet table, a row for each shard) names
-the shards of the tasks that succeeded, so a task that runs again after a lost executor leaves no wrong files in use.
+Documents are encoded where they are read, travel once as compressed ids to the range of their doc_id and text hash, and are
+written by the task that sorts the range. A shard's name is its own, and the manifest (a Parquet table, a row for each
+shard, with the number of ids before it) names the shards of the tasks that succeeded, so a task that runs again after a
+lost executor leaves no wrong files in use.
 
 A document's key is its doc_id and the number of equal doc_ids before it, so repeated ids keep a place each (ties ordered
-by ids). Null doc_ids come first. A null text is encoded as an empty one: just the end id. An empty table gives an
+by text hash, then ids); those of an id that fills several ranges are counted on from shard to shard. Null doc_ids come first. A null text is encoded as an empty one: just the end id. An empty table gives an
 empty manifest. Texts of any length are encoded whole; a shard is closed beyond ``shard_ids`` ids.
 """
 
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, id_and_text, kept, range_part, shared_dir
+from kgloom.llm.common import NULL_ID, Ranges, documents, id_and_text, id_array, kept, shared_dir
 
 MAGIC = b"KGIDS\x00\x00\x01"
-NULL_ID = -(1 << 63)
 
 
 class Generations:
@@ -207,24 +209,29 @@ def shard_bytes(ids: list[int], repeats: list[int], payloads: list[bytes], kind:
 
 
 class Shard:
-    """Keyed access to the documents of one shard."""
+    """Keyed access to the documents of one shard; ``read(offset, size)`` gives bytes of its file.
 
-    def __init__(self, data: bytes):
+    The index is held; payloads are read when asked for. ``before`` is the number of rows with the shard's first id in earlier shards.
+    """
+
+    def __init__(self, read, before: int = 0):
         import numpy as np
 
-        magic, self.width, levels, n, self.n_ids = struct.unpack_from("<8sIIQQ", data)
+        magic, self.width, levels, n, self.n_ids = struct.unpack("<8sIIQQ", read(0, 32))
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
-        words = struct.unpack_from(f"<{levels}Q", data, 32)
-        at, parts = 32 + 8 * levels, []
-        for kind, m in [*(("<u8", w) for w in words), ("<i8", n), ("<i8", n), ("<u4", n)]:
+        words = struct.unpack(f"<{levels}Q", read(32, 8 * levels))
+        kinds = [*(("<u8", w) for w in words), ("<i8", n), ("<i8", n), ("<u4", n)]
+        size = sum(m * int(kind[2:]) for kind, m in kinds)
+        data, at, parts = read(32 + 8 * levels, size), 0, []
+        for kind, m in kinds:
             parts.append(np.frombuffer(data, kind, m, at))
             at += m * int(kind[2:])
         self.index, (self.offsets, self.sizes, self.prints) = PerfectHash(parts[:-3]), parts[-3:]
-        self.payload = np.frombuffer(data, f"<u{self.width}", self.n_ids, at)
+        self.read, self.payload, self.before = read, 32 + 8 * levels + size, before
 
     def places(self, ids, repeats):
-        """(offset, length) arrays; -1 for keys that the shard does not hold."""
+        """(offset, length) arrays, in ids; -1 for keys that the shard does not hold."""
         import numpy as np
 
         keys = keys_of(ids, repeats)
@@ -233,29 +240,44 @@ class Shard:
         ok[ok] = self.prints[at[ok]] == (mix(keys[ok], 99) >> np.uint64(32)).astype(np.uint32)
         return np.where(ok, self.offsets[at], -1), np.where(ok, self.sizes[at], -1)
 
+    def slice(self, offset: int, size: int):
+        import numpy as np
+
+        return np.frombuffer(self.read(self.payload + offset * self.width, size * self.width), f"<u{self.width}")
+
     def ids(self, doc_id: int, repeat: int = 0):
-        """The ids of one document, or None."""
+        """The ids of one document, or None; repeats count from this shard's first."""
         offset, size = (int(x[0]) for x in self.places([doc_id], [repeat]))
-        return None if offset < 0 else self.payload[offset : offset + size]
+        return None if offset < 0 else self.slice(offset, size)
 
 
-def open_shard(uri: str) -> Shard:
+def open_shard(uri: str, whole: bool = False) -> Shard:
+    """A shard by its URI: its index is read, and then the slices that are asked for (or, for many keys, the whole file at once)."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_file(path) as f:
-        return Shard(f.read())
+    f = system.open_input_file(path)
+    if not whole:
+        return Shard(lambda at, size: f.read_at(size, at))
+    with f:
+        data = memoryview(f.read())
+    return Shard(lambda at, size: data[at : at + size])
 
 
-MANIFEST = "part int, seq int, uri string, first_id long, first_repeat long, n_docs long, n_ids long"
+MANIFEST = "part int, seq int, uri string, first_id long, first_repeat long, last_id long, n_last long, n_docs long, n_ids long"
+#: Shards whose first keys a task can be expected to hold (16 bytes each).
+MOST_SHARDS = 8_000_000
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 32_000_000) -> DataFrame:
     """Write the shards below path (a URI of a folder that all executors reach) and return the manifest, stored there too.
 
-    The manifest adds to each shard its start: the number of ids in all shards before it.
+    The manifest's rows are numbered (``shard``) and have the number of ids in all shards before (``start``) and the number of
+    rows with their first id in earlier ranges (``before``).
     """
     spark = docs.sparkSession
+    rows, parts = id_and_text(docs, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = spark.sparkContext.broadcast(Ranges(rows, "doc_id", parts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -265,7 +287,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1,
         end, pack = np.array([end_id], encoder.kind).tobytes(), ZstdCompressor(level=1).compress
         for batch in batches:
             packed = [pack(ids + end) for ids in encoder.encode_all(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
+            part = ranges.value.of(id_array(batch.column(0)), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns[:2], pa.array(packed, pa.binary())], names=["part", "doc_id", "tie", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -282,18 +305,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1,
             with system.open_output_stream(f"{folder}/{name}") as f:
                 for piece in shard_bytes(ids, repeats, payloads, kind):
                     f.write(piece)
-            row = [part, seq, f"{path}/{name}", ids[0], repeats[0], len(ids), held // width]
+            row = [part, seq, f"{path}/{name}", ids[0], repeats[0], ids[-1], repeats[-1] + 1, len(ids), held // width]
             return pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=pa.schema(list(zip(names, types, strict=True))))
 
         names = [c.split()[0] for c in MANIFEST.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4]
+        types = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 6]
         last, repeat = None, 0
         for batch in batches:
-            for own, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, doc_id, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != part:
                     if ids:
                         yield close()
-                    ids, repeats, payloads, held, seq, part = [], [], [], 0, 0, own
+                    ids, repeats, payloads, held, seq, part, last = [], [], [], 0, 0, own, None
                 doc_id = NULL_ID if doc_id is None else doc_id
                 repeat = repeat + 1 if doc_id == last else 0
                 last = doc_id
@@ -307,63 +330,85 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1,
         if ids:
             yield close()
 
-    rows, parts = id_and_text(docs, id_col, text_col), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = rows.select(range_part(rows, "doc_id", parts).alias("part"), "doc_id", "text").mapInArrow(encode, "part int, doc_id long, ids binary")
-    sorted_ = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
-    sorted_.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
-    shards = sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: (r["part"], r["seq"]))  # a row for each shard
-    start, rows = 0, []
-    for r in shards:
-        rows.append((*r, start))
-        start += r["n_ids"]
-    return spark.createDataFrame(rows, MANIFEST + ", start long")
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    encoded = keyed.mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
+    sorted_ = encoded.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "ids")
+    sorted_.mapInArrow(write, MANIFEST).write.parquet(f"{path}/shards")
+    shards = spark.read.parquet(f"{path}/shards")
+    order = W.orderBy("part", "seq")  # over one row for each shard
+    shards = shards.withColumn("shard", (F.row_number().over(order) - 1).cast("int"))
+    shards = shards.withColumn("start", F.coalesce(F.sum("n_ids").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # Of an id that ends one range and begins the next, the rows of all ranges before; the last shard of each range counts.
+    last = F.coalesce(F.lead("part").over(order) != F.col("part"), F.lit(True))
+    ends = shards.withColumn("n", F.when(last, F.col("n_last")).otherwise(0))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("last_id").orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = ends.withColumn("sum", before + F.col("n")).groupBy("last_id", "part").agg(F.max("sum").alias("sum"))
+    earlier = shards.select("shard", "part", "first_id").join(sums.select(F.col("last_id").alias("first_id"), F.col("part").alias("p"), "sum"), "first_id").where("p < part").groupBy("shard").agg(F.max("sum").alias("before"))
+    shards.join(earlier, "shard", "left").withColumn("before", F.coalesce("before", F.lit(0))).write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def read_ids(keys: DataFrame, manifest: DataFrame, each, out: pa.Schema, schema: str) -> DataFrame:
     """Look up keys (doc_id, repeat) in the shards; each(start, ids as unsigned 32-bit array) gives further columns.
 
-    Keys go to the task of their shard, so a shard is opened once. A key that no shard holds raises an error.
+    Keys go to the task of their shard, so a shard is opened once. A key that no shard holds raises an error. The tasks
+    that place the keys hold the first key of each shard, 16 bytes; beyond MOST_SHARDS larger shards are asked for.
     """
-    shards = sorted(manifest.collect(), key=lambda r: (r["part"], r["seq"]))  # a row for each shard
-    held = keys.sparkSession.sparkContext.broadcast([(r["first_id"], r["first_repeat"], r["uri"], r["start"]) for r in shards])
+    import numpy as np
+
+    n = manifest.count()
+    if n > MOST_SHARDS:
+        raise ValueError(f"{n} shards: write larger ones")
+    firsts = manifest.orderBy("shard").select("first_id", (F.col("first_repeat") + F.col("before")).alias("r")).toLocalIterator()
+    firsts = np.fromiter((x for r in firsts for x in r), np.int64, 2 * n).reshape(n, 2)
+    held = keys.sparkSession.sparkContext.broadcast((firsts[:, 0].copy(), firsts[:, 1].copy()))
+    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
-        firsts = [(a, b) for a, b, *_ in held.value]
+        ids, repeats = held.value
         for batch in batches:
-            at = [bisect_right(firsts, (NULL_ID if i is None else i, r)) - 1 for i, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=["doc_id", "repeat", "shard"])
+            key, repeat = id_array(batch.column(0)), batch.column(1).to_numpy()
+            low, high = np.searchsorted(ids, key, "left"), np.searchsorted(ids, key, "right")
+            at = high - 1
+            for i in np.flatnonzero(high > low):  # the id is a shard's first: its number decides
+                at[i] = bisect_right(repeats, repeat[i], int(low[i]), int(high[i])) - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], names=["doc_id", "repeat", "shard"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         opened, shard = None, None
         for batch in batches:
-            ids, repeats, at = (np.array([NULL_ID if v is None else v for v in c.to_pylist()], np.int64) for c in batch.columns)
+            ids, repeats, at = id_array(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            starts, before = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (4, 5))
             found = []
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
+                if at[a] < 0:
+                    raise KeyError("a document is in no shard")
                 if opened != at[a]:
-                    opened, shard = at[a], open_shard(held.value[at[a]][2])
-                offsets, sizes = shard.places(ids[a:b], repeats[a:b])
+                    opened, shard = at[a], open_shard(batch.column(3)[a].as_py(), whole=True)
+                    first = held.value[0][opened]
+                own = repeats[a:b] - np.where(ids[a:b] == first, before[a], 0)
+                offsets, sizes = shard.places(ids[a:b], own)
                 if (offsets < 0).any():
                     raise KeyError("a document is in no shard")
-                base = held.value[at[a]][3]
-                found += [each(base + o, shard.payload[o : o + n].astype("<u4")) for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
+                found += [each(int(starts[a]) + o, shard.slice(o, n).astype("<u4")) for o, n in zip(offsets.tolist(), sizes.tolist(), strict=True)]
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(out)[1:], strict=True))], schema=out)
 
     placed = keys.select("doc_id", "repeat").mapInArrow(place, "doc_id long, repeat long, shard int")
-    return placed.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard").mapInArrow(look_up, schema)
+    placed = placed.join(manifest.select("shard", "uri", "start", "before"), "shard", "left").select("doc_id", "repeat", "shard", "uri", "start", "before")
+    return placed.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard").mapInArrow(look_up, schema)
 
 
-def document_keys(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def document_keys(docs: DataFrame, id_col: str = "doc_id", chunk: int = 65_536) -> DataFrame:
     """(doc_id, repeat) of every row."""
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("repeat"))
+    firsts = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))).alias("a"))
+    return firsts.select("doc_id", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + chunk, F.col("n")) - 1)).alias("repeat"))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
