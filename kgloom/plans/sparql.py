@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from kgloom.graph import KnowledgeGraph
 from kgloom.model import RDF_TYPE, XSD, GraphError
+from kgloom.session import checkpoint
 
 
 class SparqlSyntaxError(GraphError):
@@ -684,6 +685,10 @@ class Solutions:
     sure: set[str]
 
 
+#: A column for keys of rows (no variable can have this name), and the parts of a side that rows which fit anything are sent to.
+ROW, SPREAD = "§row", 32
+
+
 class Compiler:
     def __init__(self, kg: KnowledgeGraph, now: date | None = None):
         self.kg, self.spark = kg, kg.triples.sparkSession
@@ -724,22 +729,80 @@ class Compiler:
             found = new if found is None else self.join(found, new)
         return found or self.unit()
 
-    def join(self, a: Solutions, b: Solutions, how: str = "inner") -> Solutions:
+    def join(self, a: Solutions, b: Solutions, how: str = "inner", conditions: list | tuple = (), common: bool = False) -> Solutions:
+        """Joins on the shared variables that are bound on both sides; an unbound one fits anything.
+
+        Where a shared variable may be unbound, each side is divided by which of them are, so that every pair of divisions
+        is an equi-join. ``conditions`` are expressions over both sides that a match must pass; ``common`` asks for a
+        shared variable that is bound on both sides (as MINUS does).
+        """
         shared = sorted(a.names & b.names)
         firm = [v for v in shared if v in a.sure and v in b.sure]
         loose = [v for v in shared if v not in firm]
         right = b.df.select(*(F.col(v).alias(f"__{v}") for v in sorted(b.names))) if b.names else b.df.select(F.lit(1).alias("__one"))
-        match = F.lit(True)
-        for v in firm:
-            match = match & (a.df[v] == right[f"__{v}"])
-        for v in loose:
-            match = match & ((a.df[v] == right[f"__{v}"]) | a.df[v].isNull() | right[f"__{v}"].isNull())
-        joined = a.df.join(right, match, how) if shared else (a.df.join(right, F.lit(True), how) if how != "inner" else a.df.crossJoin(right))
+
+        def bound(e):
+            if isinstance(e, Var):
+                own = [F.col(c) for c, there in ((e.name, e.name in a.names), (f"__{e.name}", e.name in b.names)) if there]
+                return Value(F.coalesce(*own) if own else F.lit(None).cast("string"), "key")
+            return ("call", e[1], [bound(x) for x in e[2]]) if isinstance(e, tuple) else e
+
+        tests = [self.say.of(bound(e), set()).truth() for e in conditions]
+
+        def divided(df: DataFrame, sure: set[str], mark: str) -> list[tuple[set, DataFrame]]:
+            found = [(set(), df)]
+            for v in loose:
+                if v not in sure:
+                    found = [x for free, d in found for x in ((free, d.where(F.col(mark + v).isNotNull())), (free | {v}, d.where(F.col(mark + v).isNull())))]
+            return found
+
+        lefts, rights = divided(a.df, a.sure, ""), divided(right, b.sure, "__")
+
+        def one(left: DataFrame, other: DataFrame, free: set, way: str) -> DataFrame:
+            keys = firm + [v for v in loose if v not in free]
+            match = [F.col(v) == F.col(f"__{v}") for v in keys] + tests
+            if match:
+                whole = match[0]
+                for x in match[1:]:
+                    whole = whole & x
+                return left.join(other, whole, way)
+            if way != "inner":  # any row of the other side will do
+                return left.join(other.limit(1).select(F.lit(1).alias("__any")), F.lit(True), way)
+            if not free:
+                return left.crossJoin(other)
+            # Rows that fit anything are sent to all parts of the other side.
+            spread = left.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+            dealt = other.withColumn("__at", F.pmod(F.xxhash64(*other.columns), F.lit(SPREAD)).cast("int"))
+            return spread.join(dealt, F.col("__part") == F.col("__at")).drop("__part", "__at")
+
+        def shown(df: DataFrame) -> DataFrame:
+            columns = [F.coalesce(F.col(v), F.col(f"__{v}")).alias(v) if v in loose else F.col(v) for v in sorted(a.names)]
+            return df.select(*columns, *(F.col(f"__{v}").alias(v) for v in sorted(b.names - a.names)))
+
+        out: list[DataFrame] = []
+        undivided = len(lefts) * len(rights) == 1
+        for free, left in lefts:
+            rest = left
+            for other_free, other in rights:
+                both = free | other_free
+                if common and not firm and set(loose) <= both:
+                    continue
+                if how in ("inner", "left"):
+                    out.append(shown(one(left, other, both, how if undivided else "inner")))
+                elif how == "left_semi":
+                    out.append(one(rest, other, both, "left_semi"))
+                if how == "left_anti" or how != "inner" and not undivided:
+                    rest = one(rest, other, both, "left_anti")
+            if how == "left_anti":
+                out.append(rest)
+            elif how == "left" and not undivided:
+                out.append(rest.select(*sorted(a.names), *(F.lit(None).cast("string").alias(v) for v in sorted(b.names - a.names))))
+        joined = out[0]
+        for more in out[1:]:
+            joined = joined.unionByName(more)
         if how in ("left_semi", "left_anti"):
             return Solutions(joined, a.names, a.sure)
-        columns = [F.coalesce(F.col(v), F.col(f"__{v}")).alias(v) if v in loose else F.col(v) for v in sorted(a.names)]
-        columns += [F.col(f"__{v}").alias(v) for v in sorted(b.names - a.names)]
-        return Solutions(joined.select(*columns), a.names | b.names, a.sure | (b.sure if how == "inner" else set()))
+        return Solutions(joined, a.names | b.names, a.sure | (b.sure if how == "inner" else set()))
 
     def group(self, g: Group) -> Solutions:
         found, filters = None, []
@@ -767,43 +830,44 @@ class Compiler:
 
     def filter(self, found: Solutions, e) -> Solutions:
         if isinstance(e, tuple) and e[0] == "exists":
-            return self.join(found, self.group(e[1]), "left_semi" if e[2] else "left_anti")
+            return self.exists(found, e[1], e[2])
         if isinstance(e, tuple) and e[:2] == ("call", "!") and isinstance(e[2][0], tuple) and e[2][0][0] == "exists":
             return self.filter(found, ("exists", e[2][0][1], not e[2][0][2]))
         if isinstance(e, tuple) and e[:2] == ("call", "&&"):
             return self.filter(self.filter(found, e[2][0]), e[2][1])
         return Solutions(found.df.where(self.say.of(e, found.names).truth()), found.names, found.sure)
 
-    def optional(self, found: Solutions, g: Group) -> Solutions:
-        own = [p[1] for p in g.parts if p[0] == "filter" and not (isinstance(p[1], tuple) and p[1][0] == "exists")]
-        inner = self.group(Group([p for p in g.parts if p[0] != "filter" or p[1] not in own]))
-        if own and not any(_names(e) - inner.names for e in own):  # the filter sees only the inside
-            for e in own:
+    def exists(self, found: Solutions, g: Group, wanted: bool) -> Solutions:
+        """Rows for which the group has (or has no) match; its filters also see the row's variables."""
+        plain = Group([p for p in g.parts if p[0] != "filter"])
+        inner = self.group(plain)
+        filters = [p[1] for p in g.parts if p[0] == "filter"]
+        outer = [e for e in filters if (_names(e) - inner.names) & found.names]
+        for e in filters:
+            if e not in outer:
                 inner = self.filter(inner, e)
-            own = []
-        if not own:
-            return self.join(found, inner, "left")
-        # A filter that sees both sides belongs to the join's condition: join, keep what passes, put back the rest.
-        marked = Solutions(found.df.withColumn("__row", F.monotonically_increasing_id()), found.names | {"__row"}, found.sure | {"__row"})
+        way = "left_semi" if wanted else "left_anti"
+        if not any(_has_exists(e) for e in outer):
+            return self.join(found, inner, way, outer)
+        # A nested EXISTS that sees both: rows get a key that stays, since they are materialised with it.
+        marked = Solutions(checkpoint(found.df.withColumn(ROW, F.monotonically_increasing_id().cast("string"))), found.names | {ROW}, found.sure | {ROW})
         joined = self.join(marked, inner)
-        for e in own:
+        for e in outer:
             joined = self.filter(joined, e)
-        rest = marked.df.join(joined.df.select("__row").distinct(), "__row", "left_anti")
-        names = found.names | inner.names
-        return Solutions(joined.df.unionByName(rest, allowMissingColumns=True).select(*sorted(names)), names, found.sure)
+        return Solutions(marked.df.join(joined.df.select(ROW).distinct(), ROW, way).select(*sorted(found.names)), found.names, found.sure)
+
+    def optional(self, found: Solutions, g: Group) -> Solutions:
+        """A filter that sees both sides belongs to the join's condition."""
+        own = [p[1] for p in g.parts if p[0] == "filter" and not _has_exists(p[1])]
+        inner = self.group(Group([p for p in g.parts if p[0] != "filter" or p[1] not in own]))
+        both = [e for e in own if _names(e) - inner.names]
+        for e in own:
+            if e not in both:
+                inner = self.filter(inner, e)
+        return self.join(found, inner, "left", both)
 
     def minus(self, a: Solutions, b: Solutions) -> Solutions:
-        shared = a.names & b.names
-        if not shared:
-            return a
-        if shared <= a.sure and shared <= b.sure:
-            return self.join(a, b, "left_anti")
-        right = b.df.select(*(F.col(v).alias(f"__{v}") for v in sorted(shared)))
-        match, some = F.lit(True), F.lit(False)
-        for v in sorted(shared):
-            match = match & ((a.df[v] == right[f"__{v}"]) | a.df[v].isNull() | right[f"__{v}"].isNull())
-            some = some | (a.df[v].isNotNull() & right[f"__{v}"].isNotNull())
-        return Solutions(a.df.join(right, match & some, "left_anti"), a.names, a.sure)
+        return self.join(a, b, "left_anti", common=True) if a.names & b.names else a
 
     def union(self, ways: list[Group]) -> Solutions:
         found = [self.group(w) for w in ways]
@@ -902,9 +966,18 @@ class Compiler:
 
 
 def _names(e) -> set[str]:
+    """The variables of an expression, with those of the groups of its EXISTS."""
     if isinstance(e, Var):
         return {e.name}
-    return set().union(*(_names(x) for x in e[2] if x != "*")) if isinstance(e, tuple) and e[0] in ("call", "aggregate") else set()
+    if isinstance(e, Group):
+        return set().union(*(_names(p) for p in e.parts))
+    if isinstance(e, (tuple, list)):
+        return set().union(*(_names(x) for x in e))
+    return set()
+
+
+def _has_exists(e) -> bool:
+    return isinstance(e, tuple) and (e[0] == "exists" or e[0] == "call" and any(_has_exists(x) for x in e[2]))
 
 
 def _order(v: Value, down: bool) -> list[Column]:
@@ -926,8 +999,11 @@ def compile_sparql(text: str, kg: KnowledgeGraph, now: date | None = None, prefi
     return found.df.select(*(text_of_key(F.col(n)).alias(n) for n in names))
 
 
-def execute(text: str, kg: KnowledgeGraph, timeout: float | None = None, **options) -> tuple[bool, list[dict], str | None]:
-    """(success, rows, error): rows leave out unbound variables. Beyond ``timeout`` seconds the query's jobs are cancelled."""
+def execute(text: str, kg: KnowledgeGraph, timeout: float | None = None, most: int = 1_000_000, **options) -> tuple[bool, list[dict], str | None]:
+    """(success, rows, error): rows leave out unbound variables. Beyond ``timeout`` seconds the query's jobs are cancelled.
+
+    A result of over ``most`` rows is an error, as it would not fit the caller: use compile_sparql, whose result stays distributed.
+    """
     spark = kg.triples.sparkSession
     tag, late = f"sparql-{threading.get_ident()}-{id(text)}", threading.Event()
 
@@ -940,7 +1016,9 @@ def execute(text: str, kg: KnowledgeGraph, timeout: float | None = None, **optio
     try:
         if timer:
             timer.start()
-        rows = compile_sparql(text, kg, **options).collect()
+        rows = compile_sparql(text, kg, **options).limit(most + 1).collect()
+        if len(rows) > most:
+            return False, [], f"the result has over {most} rows"
         return True, [{k: v for k, v in r.asDict().items() if v is not None} for r in rows], None
     except Exception as e:  # noqa: BLE001  an interface that reports instead of raising
         return False, [], f"timeout after {timeout:g} s" if late.is_set() else f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
