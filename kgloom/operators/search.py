@@ -10,6 +10,7 @@ from kgloom.functions.text import fuzzy_match, search_variants, seed_label
 from kgloom.graph import KnowledgeGraph
 from kgloom.model import RDF_TYPE, SearchMode
 from kgloom.operators.vectors import search_entities
+from kgloom.session import limited, stored
 
 
 def keyword_search(kg: KnowledgeGraph, keywords: DataFrame, limit: int = 10, variants: bool = False, type_prefix: str | None = None, most: int = 10_000) -> DataFrame:
@@ -40,6 +41,32 @@ def keyword_search(kg: KnowledgeGraph, keywords: DataFrame, limit: int = 10, var
     return ranked.select("query_id", F.col("uri").alias("entity_uri"), "label", "rank")
 
 
+def keyword_search_each(kg: KnowledgeGraph, keywords: DataFrame, limit: int = 10, timeout: float | None = 25.0, **options) -> tuple[DataFrame, dict[str, str]]:
+    """K2: keyword_search within ``timeout`` seconds, and the error of each query_id that failed.
+
+    All keywords are searched in one plan; only if that fails is each searched alone, with the same limit, so that one that
+    fails or takes too long costs its own result only. The result is stored.
+    """
+    spark = keywords.sparkSession
+    search = lambda asked: stored(keyword_search(kg, asked, limit, **options), "keywords")
+    ok, found, _ = limited(spark, lambda: search(keywords), timeout)
+    if ok:
+        return found, {}
+    parts, errors = [], {}
+    for r in keywords.select("query_id").distinct().toLocalIterator():
+        ok, found, error = limited(spark, lambda r=r: search(keywords.where(F.col("query_id") == r["query_id"])), timeout)
+        if ok:
+            parts.append(found)
+        else:
+            errors[r["query_id"]] = error
+    if not parts:
+        return spark.createDataFrame([], "query_id string, entity_uri string, label string, rank int"), errors
+    joined = parts[0]
+    for more in parts[1:]:
+        joined = joined.unionByName(more)
+    return joined, errors
+
+
 def shares(n: int, mode: SearchMode = SearchMode.hybrid) -> tuple[int, int]:
     """How many of n results are semantic and how many by keyword: two thirds (rounded half to even) in hybrid mode."""
     if mode == SearchMode.hybrid:

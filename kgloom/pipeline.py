@@ -22,7 +22,7 @@ from kgloom.operators.filters import dedup_by_types, filter_relations, filter_se
 from kgloom.operators.merge import graphs_text, labelled_triples, merged, relations_text, seeds_text, top_per_seed
 from kgloom.operators.paths import subgraphs
 from kgloom.operators.search import citable, seed_nodes
-from kgloom.operators.vectors import search_relations
+from kgloom.operators.vectors import search_relations, select_schema
 from kgloom.plans.sparql import execute
 
 
@@ -73,6 +73,7 @@ class Engine:
     encoder: Any
     model: LanguageModel
     config: Config = field(default_factory=Config)
+    schema: DataFrame | None = None  # a collection of schema terms (V9)
 
     @property
     def spark(self):
@@ -99,9 +100,35 @@ class Engine:
         rows = citable(self.seeds({"q": question}, n, mode), self.config.semantic_similarity_threshold, self.config.fuzzy_match_threshold).collect()
         return bool(rows), {r["entity_from"]: r["uris"] for r in rows}
 
-    def templates(self, questions: dict[str, str]) -> DataFrame:
-        """One template for each question, encoded."""
-        rows = [(q, self.model("template", question=text) or text) for q, text in questions.items()]
+    def schema_terms(self, questions: dict[str, str], n_entities: int, n_relations: int) -> dict[str, list[dict]]:
+        """V9: the schema terms (uri, label, kind) nearest to each question; none without a schema."""
+        found: dict[str, list[dict]] = {q: [] for q in questions}
+        if self.schema is not None:
+            asked = self.spark.createDataFrame(list(questions.items()), "query_id string, text string")
+            for r in select_schema(self.schema, asked, self.encoder, n_entities, n_relations).orderBy("query_id", "kind", "rank").toLocalIterator():
+                found[r["query_id"]].append({"uri": r["uri"], "label": r["label"], "kind": r["kind"]})
+        return found
+
+    def templates(self, questions: dict[str, str], seeds: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+        """One template for each question, encoded.
+
+        With schema-aware templates the model sees the question's seeds and relations, if given, else the nearest schema
+        terms; a question without either is rephrased as it is.
+        """
+        context: dict[str, dict[str, str]] = {q: {} for q in questions}
+        if self.config.use_schema_aware_templates and seeds is not None and relations is not None:
+            rows = lambda df, *columns: df.select("question_id", *columns).distinct().orderBy("question_id", *columns).toLocalIterator()  # noqa: E731  a few for each question
+            held: dict[str, tuple[list, list]] = {q: ([], []) for q in questions}
+            for r in rows(seeds, "entity_uri", "label", "entity_from"):
+                held[r["question_id"]][0].append(r.asDict())
+            for r in rows(relations, "relation_uri", "label", "relation_from"):
+                held[r["question_id"]][1].append(r.asDict())
+            context = {q: {"seeds": seeds_text(a), "relations": relations_text(b)} if a or b else {} for q, (a, b) in held.items()}
+        elif self.config.use_schema_aware_templates and self.schema is not None:
+            for q, terms in self.schema_terms(questions, self.config.schema_top_k_entities, self.config.schema_top_k_relations).items():
+                shown = lambda kind, terms=terms: "\n".join(f"{t['label']} <{t['uri']}>" for t in terms if t["kind"] == kind)
+                context[q] = {"entity_types": shown("entity"), "relations": shown("relation")} if terms else {}
+        rows = [(q, self.model("template", question=text, **context[q]) or text) for q, text in questions.items()]
         return self.spark.createDataFrame(rows, "question_id string, text string").select("question_id", "text", self.encoder.encode(F.col("text")).alias("template"))
 
     def retrieve_batch(self, questions: dict[str, str], n_seeds: int = 10, n_relations: int = 3, max_hops: int = 6, max_k: int = 4, merge_k: int = 3, mode: SearchMode = SearchMode.hybrid) -> dict[str, DataFrame]:
@@ -110,13 +137,19 @@ class Engine:
         relations = self.relation_nodes(questions, n_relations)
         kept = filter_seeds(seeds)
         kept_relations = filter_relations(dedup_by_types(relations))
-        graphs = subgraphs(self.kg, kept.select("question_id", F.col("entity_uri").alias("seed_uri")), self.templates(questions), kept_relations, self.encoder, self.config, max_hops, max_k)
+        graphs = subgraphs(self.kg, kept.select("question_id", F.col("entity_uri").alias("seed_uri")), self.templates(questions, kept, kept_relations), kept_relations, self.encoder, self.config, max_hops, max_k)
         graphs = graphs.withColumn("graph_id", F.concat_ws("#", "seed_uri", F.lpad(F.col("place").cast("string"), 4, "0")))
         return {"seeds": seeds, "filtered_seeds": kept, "relations": relations, "filtered_relations": kept_relations, "subgraphs": graphs, "merged": merged(top_per_seed(graphs, merge_k))}
 
     def generate_sparql(self, question: str, seeds: list[dict], graphs: list[dict], relations: list[dict], retries: int = 3) -> tuple[str, list[dict]]:
-        """The first query that runs (an empty result counts); errors are fed back; exhaustion raises."""
+        """The first query that runs (an empty result counts); errors are fed back; exhaustion raises.
+
+        Without relations the nearest relations of the schema are shown instead.
+        """
         error = ""
+        if not relations:
+            terms = self.schema_terms({"q": question}, 10, 20)["q"]
+            relations = [{"relation_uri": t["uri"], "label": t["label"]} for t in terms if t["kind"] == "relation"]
         hints = sorted({(t["predicate"], t["predicate_uri"]) for g in graphs for t in g["triples"]} - {(x, u) for g in graphs for t in g["triples"] for x, u in [(t["predicate"], t["predicate_uri"])] if x in self.config.excluded_predicate_labels})
         for _ in range(retries):
             text = strip_fences(self.model("sparql", question=question, seeds=seeds_text(seeds), graphs=graphs_text(graphs), relations=relations_text(relations), predicates="\n".join(f"{x} <{u}>" for x, u in hints), examples="\n".join(f"{q}\n{s}" for q, s in self.config.few_shot), error=error, instruction=self.config.instruction("sparql", "")))
@@ -154,7 +187,7 @@ class Engine:
             return failed("seed_finding", "no seeds")
         lap("seed_finding")
         try:
-            graphs = subgraphs(self.kg, seeds.select("question_id", F.col("entity_uri").alias("seed_uri")), self.templates({"q": question}), relations, self.encoder, self.config, max_hops, max_k)
+            graphs = subgraphs(self.kg, seeds.select("question_id", F.col("entity_uri").alias("seed_uri")), self.templates({"q": question}, seeds, relations), relations, self.encoder, self.config, max_hops, max_k)
             out.subgraphs = [r.asDict(True) for r in graphs.withColumn("triples", labelled_triples(F.col("triplets"), F.col("path"))).collect()]
         except Exception as e:  # noqa: BLE001
             return failed("subgraph_extraction", str(e))
@@ -205,29 +238,41 @@ class Engine:
         except (ValueError, KeyError, TypeError) as e:
             return {"correct": False, "failure_code": "JUDGE_ERROR", "reason": str(e)}
 
-    def evaluate(self, questions: DataFrame, generated: str = "generated_sparql", judged: bool = True) -> DataFrame:
+    def evaluate(self, questions: DataFrame, generated: str = "generated_sparql", judged: bool = True, threads: int = 4, batch: int = 64, most: int = 100_000) -> DataFrame:
         """E7 to E10 for questions (id, query_type, question, golden_sparql, generated): state, counts, F1 and verdict of each.
 
-        Queries run one by one, each with the configured timeout; a question without a generated query counts as failed.
-        correct_0 is correct and wrong_0 is not; the judge decides on the others.
+        Queries run in ``threads`` at once, each with the configured timeout and up to ``most`` rows; a question without a
+        generated query counts as failed. Rows are written batch by batch and compared in Spark; the driver keeps of each
+        question its texts and the first rows, for the judge. correct_0 is correct and wrong_0 is not; the judge decides on the others.
         """
+        from concurrent.futures import ThreadPoolExecutor
+        from itertools import islice
+
         from kgloom.functions.text import question_text
         from kgloom.operators.evaluate import compare_rows, needs_judge
-
-        found, golden_rows, generated_rows, status = {}, [], [], []
-        for r in questions.select("id", "query_type", question_text(F.col("question")).alias("text"), "golden_sparql", generated).toLocalIterator():
-            runs = [execute(q, self.kg, self.config.execution_timeout) if q else (False, [], "no query") for q in (r["golden_sparql"], r[generated])]
-            found[r["id"]] = (r, runs)
-            status.append((r["id"], runs[0][0], runs[1][0]))
-            for rows, run in ((golden_rows, runs[0]), (generated_rows, runs[1])):
-                rows += [(r["id"], "\x01".join(str(x[k]).strip() for k in sorted(x))) for x in run[1]]
-        make = lambda rows: self.spark.createDataFrame(rows, "question_id string, row string")
-        states = compare_rows(make(golden_rows), make(generated_rows), self.spark.createDataFrame(status, "question_id string, golden_ok boolean, generated_ok boolean"))
+        from kgloom.session import new_path
+
+        kind, path, found, status = "golden boolean, question_id string, row string", new_path(self.spark, "answers"), {}, []
+        run = lambda q: execute(q, self.kg, self.config.execution_timeout, most) if q else (False, [], "no query")
+        self.spark.createDataFrame([], kind).write.parquet(path)
+        asked = questions.select("id", "query_type", question_text(F.col("question")).alias("text"), "golden_sparql", F.col(generated).alias("generated")).toLocalIterator()
+        with ThreadPoolExecutor(threads) as pool:
+            while some := list(islice(asked, batch)):
+                runs = list(pool.map(run, [q for r in some for q in (r["golden_sparql"], r["generated"])]))
+                rows = []
+                for i, r in enumerate(some):
+                    pair = runs[2 * i : 2 * i + 2]
+                    found[r["id"]] = (r, [p[1][:5] for p in pair])
+                    status.append((r["id"], pair[0][0], pair[1][0]))
+                    rows += [(golden, r["id"], "\x01".join(str(x[k]).strip() for k in sorted(x))) for golden, p in zip((True, False), pair, strict=True) for x in p[1]]
+                self.spark.createDataFrame(rows, kind).write.mode("append").parquet(path)
+        held = self.spark.read.parquet(path)
+        states = compare_rows(held.where("golden"), held.where("NOT golden"), self.spark.createDataFrame(status, "question_id string, golden_ok boolean, generated_ok boolean"))
         verdicts = []
         if judged:
             for s in states.where(needs_judge(F.col("state"))).select("question_id").toLocalIterator():
-                r, runs = found[s["question_id"]]
-                v = self.judge(r["text"], r["query_type"], r["golden_sparql"], r[generated], runs[0][1], runs[1][1])
+                r, heads = found[s["question_id"]]
+                v = self.judge(r["text"], r["query_type"], r["golden_sparql"], r["generated"], *heads)
                 verdicts.append((s["question_id"], v["correct"], v["failure_code"]))
         judged_rows = self.spark.createDataFrame(verdicts, "question_id string, judged boolean, failure_code string")
         types = self.spark.createDataFrame([(q, r["query_type"]) for q, (r, _) in found.items()], "question_id string, query_type string")

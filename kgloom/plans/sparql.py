@@ -12,7 +12,6 @@ Variables that may be unbound join by compatibility; all others by equality.
 from __future__ import annotations
 
 import re
-import threading
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kgloom.graph import KnowledgeGraph
 from kgloom.model import RDF_TYPE, XSD, GraphError
-from kgloom.session import checkpoint
+from kgloom.session import checkpoint, limited
 
 
 class SparqlSyntaxError(GraphError):
@@ -1004,28 +1003,10 @@ def execute(text: str, kg: KnowledgeGraph, timeout: float | None = None, most: i
 
     A result of over ``most`` rows is an error, as it would not fit the caller: use compile_sparql, whose result stays distributed.
     """
-    spark = kg.triples.sparkSession
-    tag, late = f"sparql-{threading.get_ident()}-{id(text)}", threading.Event()
-
-    def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(timeout, stop) if timeout else None
-    spark.addTag(tag)
-    try:
-        if timer:
-            timer.start()
-        rows = compile_sparql(text, kg, **options).limit(most + 1).collect()
-        if len(rows) > most:
-            return False, [], f"the result has over {most} rows"
-        return True, [{k: v for k, v in r.asDict().items() if v is not None} for r in rows], None
-    except Exception as e:  # noqa: BLE001  an interface that reports instead of raising
-        return False, [], f"timeout after {timeout:g} s" if late.is_set() else f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
-    finally:
-        if timer:
-            timer.cancel()
-        spark.removeTag(tag)
+    ok, rows, error = limited(kg.triples.sparkSession, lambda: compile_sparql(text, kg, **options).limit(most + 1).collect(), timeout)
+    if ok and len(rows) > most:
+        ok, error = False, f"the result has over {most} rows"
+    return (True, [{k: v for k, v in r.asDict().items() if v is not None} for r in rows], None) if ok else (False, [], error)
 
 
 def execute_or_empty(text: str, kg: KnowledgeGraph, timeout: float | None = None, **options) -> list[dict]:

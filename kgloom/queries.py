@@ -478,3 +478,115 @@ def merge_reduction(spark, d):
 def stage_rows(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("query_type"), F.when(F.col("o_orderstatus") != "O", "done").alias("generated"))
     return evaluate.stage_rows(rows, "generated", ["1-URGENT", "2-HIGH"]).select("id", "query_type")
+
+
+# ---------------------------------------------------------------- rows that the queries above leave out
+
+
+def _orders_by_year(kind: str) -> str:
+    """Orders with the years of their customers' orders."""
+    return f"(SELECT a.s AS o, CAST(b.o AS INT) AS y, {kind}(CAST(b.o AS INT)) OVER (PARTITION BY a.o) AS m FROM {_t('a', PLACED)} JOIN {_t('b', YEAR)} ON a.s = b.s)"
+
+
+sparql("sparql_exists_correlated", "SELECT ?o WHERE { ?o sc:placedBy ?c ; sc:yearOf ?y FILTER EXISTS { ?p sc:placedBy ?c ; sc:yearOf ?z FILTER(?z > ?y) } }", f"SELECT o FROM {_orders_by_year('max')} WHERE m > y")
+sparql("sparql_not_exists_correlated", "SELECT ?o WHERE { ?o sc:placedBy ?c ; sc:yearOf ?y FILTER NOT EXISTS { ?p sc:placedBy ?c ; sc:yearOf ?z FILTER(?z > ?y) } }", f"SELECT o FROM {_orders_by_year('max')} WHERE m = y")
+sparql("sparql_not_exists_status", 'SELECT ?o ?c WHERE { ?o sc:placedBy ?c FILTER NOT EXISTS { ?o sc:status "F" } }', f"SELECT a.s AS o, a.o AS c FROM {_t('a', PLACED)} JOIN {_t('b', STATUS)} ON a.s = b.s WHERE b.o <> 'F'")
+sparql("sparql_optional_filter", "SELECT ?o ?p WHERE { ?o sc:placedBy ?c ; sc:yearOf ?y ; sc:status \"P\" OPTIONAL { ?p sc:placedBy ?c ; sc:yearOf ?z FILTER(?z > ?y) } }", f"SELECT x.o, y.o AS p FROM (SELECT a.s AS o, a.o AS c, CAST(b.o AS INT) AS y FROM {_t('a', PLACED)} JOIN {_t('b', YEAR)} ON a.s = b.s JOIN {_t('d', STATUS)} ON a.s = d.s WHERE d.o = 'P') x LEFT JOIN (SELECT a.s AS o, a.o AS c, CAST(b.o AS INT) AS y FROM {_t('a', PLACED)} JOIN {_t('b', YEAR)} ON a.s = b.s) y ON x.c = y.c AND y.y > x.y")
+sparql("sparql_optional_then_join", "SELECT ?x ?r ?l WHERE { ?x a ?t FILTER(?t IN (sc:Region, sc:Nation)) OPTIONAL { ?x sc:inRegion ?r } ?r rdfs:label ?l }", f"SELECT x.x, l.s AS r, l.o AS l FROM (SELECT a.s AS x, b.o AS r FROM {_t('a', TYPE)} LEFT JOIN {_t('b', IN_REGION)} ON a.s = b.s WHERE a.o IN ('{SC}Region', '{SC}Nation')) x JOIN {_t('l', LABEL)} ON x.r = l.s UNION ALL SELECT a.s, l.s, l.o FROM {_t('a', TYPE)} JOIN {_t('l', LABEL)} ON true WHERE a.o = '{SC}Region'")
+sparql("sparql_minus_unbound", "SELECT ?x ?r WHERE { ?x a ?t FILTER(?t IN (sc:Region, sc:Nation)) OPTIONAL { ?x sc:inRegion ?r } MINUS { ?r rdfs:label \"ASIA\" } }", f"SELECT a.s AS x, b.o AS r FROM {_t('a', TYPE)} LEFT JOIN {_t('b', IN_REGION)} ON a.s = b.s WHERE a.o IN ('{SC}Region', '{SC}Nation') AND (b.o IS NULL OR b.o NOT IN (SELECT s FROM {_t('l', LABEL)} WHERE o = 'ASIA'))")
+
+_SCORED = _SETS.removesuffix(" FROM m)") + """,
+  CASE WHEN NOT generated_ok THEN 0.0 WHEN NOT golden_ok THEN NULL WHEN x = 0 THEN 1.0 WHEN y = 0 OR c = 0 THEN 0.0 ELSE round_even(2 * (CAST(c AS DOUBLE) / y) * (CAST(c AS DOUBLE) / x) / (CAST(c AS DOUBLE) / y + CAST(c AS DOUBLE) / x), 4) END AS f1,
+  CASE WHEN generated_ok AND golden_ok AND x > 0 AND y > 0 THEN c = x AND c = y END AS exact_match FROM m)"""
+
+
+@query(f"WITH {_SCORED} SELECT question_id, f1, exact_match FROM e", graph=False)
+def nine_case_f1(spark, d):
+    return _compared(spark, d).select("question_id", "f1", "exact_match")
+
+
+@query(f"WITH {_SCORED} SELECT coalesce(query_type, 'ALL') AS query_type, round(avg(f1), 3) AS mean_f1 FROM e GROUP BY ROLLUP (query_type)", graph=False)
+def mean_f1_by_query_type(spark, d):
+    types = table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("query_type"))
+    rows = _compared(spark, d).join(types, "question_id")
+    return evaluate.stats_by_type(rows).select("query_type").join(rows.rollup("query_type").agg(F.round(F.avg("f1"), 3).alias("mean_f1")).withColumn("query_type", F.coalesce("query_type", F.lit("ALL"))), "query_type")
+
+
+_CODES = ("CORRECT_EQUIVALENT", "EXECUTION_FAILURE", "EXTRA_CONSTRAINT", "MISSING_CONSTRAINT", "MISSING_NEGATION", "MISSING_UNION", "WRONG_ENTITY_URI", "WRONG_RELATION", "WRONG_VARIABLE", "WRONG_QUERY_TYPE", "JUDGE_ERROR")
+_NAMES = ("Correct Equivalent", "Execution Failed", "Over-Constrained", "Under-Constrained", "Missing Negation", "Missing OR Logic", "Wrong Entity URI", "Wrong Predicate", "Wrong Variable", "Wrong Query Type", "Other")
+
+
+def _coded(spark, d):
+    codes = F.array(*(F.lit(c) for c in _CODES))
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("query_type"), F.get(codes, (F.col("o_orderkey") % len(_CODES)).cast("int")).alias("failure_code"))
+
+
+@query("WITH r AS (SELECT o_orderpriority AS query_type, [" + ", ".join(f"'{c}'" for c in _CODES) + f"][o_orderkey % {len(_CODES)} + 1] AS failure_code, [" + ", ".join(f"'{c}'" for c in _NAMES) + f"][o_orderkey % {len(_CODES)} + 1] AS category FROM orders), n AS (SELECT coalesce(query_type, 'ALL') AS query_type, failure_code, category, count(*) AS n FROM r GROUP BY GROUPING SETS ((query_type, failure_code, category), (failure_code, category))) SELECT query_type, failure_code, category, n, round_even(n / CAST(sum(n) OVER (PARTITION BY query_type) AS DOUBLE), 4) AS share FROM n", graph=False)
+def failure_code_histogram(spark, d):
+    return evaluate.failure_histogram(_coded(spark, d))
+
+
+@query("SELECT 'entity_' || (row_number() OVER (ORDER BY u.degree DESC, u.uri) - 1) AS id, u.uri, CASE WHEN t.k IS NULL THEN lower(trim(translate(regexp_replace(split_part(u.uri, '#', -1), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_-', '  '))) WHEN t.k = 'Order' THEN 'Order: ' || split_part(u.uri, '/', -1) ELSE t.k || ': ' || coalesce(lab.label, '') END AS description FROM (SELECT s AS uri, count(*) AS degree FROM triples GROUP BY s) u LEFT JOIN (SELECT s, split_part(o, '#', 2) AS k FROM triples WHERE p = '" + TYPE + "') t ON t.s = u.uri LEFT JOIN lab ON lab.uri = u.uri WHERE u.uri NOT LIKE '%placedBy'")
+def compile_entity_descriptions(spark, d):
+    made = vectors.compile_entities(kg(spark, d), vectors.HashingEncoder(8), None).where(~F.col("uri").endswith("placedBy"))
+    return made.select("id", "uri", "description")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 600000, 6) AS score, o_orderkey % 3 = 0 AS near, o_orderkey % 5 = 0 AS alike FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS entity_from, string_agg('u' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '|' ORDER BY o_orderkey) AS uris FROM o WHERE (near AND score < 0.5) OR (NOT near AND alike) GROUP BY o_custkey""", graph=False)
+def citable_mentions(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("entity_from"), F.concat(F.lit("u"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("entity_uri"), F.round(F.col("o_totalprice") / 600000, 6).alias("score"), F.when(F.col("o_orderkey") % 3 == 0, "semantic").otherwise("keyword").alias("source"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey").cast("string")).otherwise(F.concat(F.lit("item "), "o_orderpriority")).alias("label"))
+    return search.citable(rows, 0.5, 0.999).select("entity_from", F.array_join("uris", "|").alias("uris"))
+
+
+@query("SELECT DISTINCT trim(c_mktsegment) || chr(1) || trim(CAST(c_nationkey AS VARCHAR)) AS key FROM customer", graph=False)
+def answer_row_sets(spark, d):
+    return evaluate.row_set(table(spark, d, "customer").select(F.col("c_nationkey").alias("z"), F.concat(F.lit(" "), "c_mktsegment", F.lit("  ")).alias("a")))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0 ORDER BY o_orderkey LIMIT 500", graph=False)
+def first_valid_questions(spark, d):
+    text = F.when(F.col("o_orderkey") % 4 == 0, "SELECT ?x WHERE {").otherwise(F.concat(F.lit("SELECT ?x WHERE { ?x <http://x/p> \""), F.col("o_orderkey").cast("string"), F.lit("\" }")))
+    return evaluate.first_sample(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("golden_sparql")), 500).select("id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'boolean=true' WHEN o_orderkey % 3 = 1 THEN 'x=' || o_custkey ELSE 'old=' || o_orderstatus END AS answer FROM orders", graph=False)
+def live_or_stored_answers(spark, d):
+    k = F.col("o_orderkey")
+    row = lambda name, v: F.array(F.create_map(F.lit(name), F.struct(F.lit("literal").alias("type"), v.cast("string").alias("value"))))
+    found = evaluate.live_or_stored(F.when(k % 3 == 0, True), F.when(k % 3 == 1, row("x", F.col("o_custkey"))), row("old", F.col("o_orderstatus")))
+    entry = F.element_at(F.map_entries(F.element_at(found, 1)), 1)
+    return table(spark, d, "orders").select(k.alias("id"), F.concat(entry["key"], F.lit("="), entry["value"]["value"]).alias("answer"))
+
+
+@query()
+def filter_seeds_word_ratio(spark, d):
+    return filters.filter_seeds(_seeds(spark, d)).select("question_id", "entity_from", "entity_uri", F.round("fuzzy_score", 6).alias("fuzzy_score"))
+
+
+@query()
+def subgraph_search_whole(spark, d):
+    """Best-first growth from every nation with the default settings, hops and paths."""
+    g, encoder = kg(spark, d), vectors.HashingEncoder()
+    seeds = g.triples.where((F.col("p") == TYPE) & (F.col("o") == SC + "Nation")).select(F.col("s").alias("seed_uri"))
+    seeds = seeds.withColumn("question_id", F.element_at(F.split("seed_uri", "/"), -1))
+    templates = seeds.select("question_id", encoder.encode(F.concat(F.lit("nation customer placed order "), "question_id")).alias("template"))
+    relations = seeds.select("question_id", F.lit(SC + "placed").alias("relation_uri"))
+    found = paths.subgraphs(g, seeds, templates, relations, encoder)
+    return found.select("question_id", "seed_uri", merge.labelled_triples(F.col("triplets"), F.col("path")).alias("triples"), F.round("probability", 6).alias("probability"), "path_depth", "place")
+
+
+# Two steps from every supplier: a seed set whose paths SQL can count, with the number of paths by relations for each seed.
+_TWO = f""", s AS (SELECT s AS seed FROM triples WHERE p = '{TYPE}' AND o = '{SC}Supplier'),
+e AS (SELECT s AS a, p AS r, o AS b FROM triples WHERE starts_with(o, 'http') UNION SELECT t.o, coalesce(inv.inv, t.p), t.s FROM triples t LEFT JOIN inv ON inv.p = t.p WHERE starts_with(t.o, 'http')),
+f AS (SELECT * FROM e WHERE r = '{SC}inNation'),
+one AS (SELECT s.seed, f.b AS n1 FROM s JOIN f ON f.a = s.seed)
+SELECT one.seed AS seed_uri, e.r AS relation, e.b AS neighbor FROM one JOIN e ON e.a = one.n1 WHERE e.b <> one.seed AND e.b <> one.n1 AND e.r <> '{TYPE}'"""
+
+
+@query(_TWO)
+def path_expand_from_suppliers(spark, d):
+    g = kg(spark, d)
+    start = g.triples.where((F.col("p") == TYPE) & (F.col("o") == SC + "Supplier")).select(F.col("s").alias("seed_uri"), F.array("s").alias("nodes"))
+    one = paths.candidates(g, start, [SC + "inNation"]).select("seed_uri", F.concat("nodes", F.array("neighbor")).alias("nodes"))
+    return paths.candidates(g, one).where(F.col("relation") != TYPE).select("seed_uri", "relation", "neighbor")

@@ -91,12 +91,13 @@ def write_change_log(log: DataFrame, folder: str, kind: str, stamp: str) -> str:
     return path
 
 
-def markdown(title: str, rows: DataFrame, most: int = 1000) -> str:
-    """IO13: an aggregate (a row for each type or code) as a Markdown table."""
-    found = rows.limit(most).collect()
-    show = lambda v: "" if v is None else f"{v:.4f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
-    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in found)]
-    return "\n".join(lines) + "\n"
+def markdown(title: str, rows: DataFrame, most: int | None = None) -> str:
+    """IO13: an aggregate (a row for each type or code) as a Markdown table; a table cut at ``most`` rows says so."""
+    found = rows.collect() if most is None else rows.limit(most + 1).collect()
+    more = most is not None and len(found) > most
+    show = lambda v: "" if v is None else f"{v:.4f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *("| " + " | ".join(show(v) for v in r) + " |" for r in found[:most])]
+    return "\n".join(lines) + (f"\n\nOnly the first {most} rows are shown." if more else "") + "\n"
 
 
 def log_to(path: str, name: str = "kgloom") -> logging.Logger:
