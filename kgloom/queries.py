@@ -315,8 +315,8 @@ def coverage_stats(spark, d):
 
 
 @query(f""", s AS (SELECT s AS seed FROM triples WHERE p = '{TYPE}' AND o = '{SC}Region'),
-e AS (SELECT s AS a, p AS r, o AS b FROM triples WHERE starts_with(o, 'http') UNION SELECT t.o, coalesce(inv.inv, t.p), t.s FROM triples t LEFT JOIN inv ON inv.p = t.p WHERE starts_with(t.o, 'http')),
-one AS (SELECT s.seed, e.r AS r1, e.b AS n1 FROM s JOIN e ON e.a = s.seed WHERE e.b <> s.seed)
+e AS MATERIALIZED (SELECT s AS a, p AS r, o AS b FROM triples WHERE starts_with(o, 'http') UNION SELECT t.o, coalesce(inv.inv, t.p), t.s FROM triples t LEFT JOIN inv ON inv.p = t.p WHERE starts_with(t.o, 'http')),
+one AS MATERIALIZED (SELECT s.seed, e.r AS r1, e.b AS n1 FROM s JOIN e ON e.a = s.seed WHERE e.b <> s.seed)
 SELECT one.seed AS seed_uri, one.r1 || '|' || e.r AS rels, one.n1 || '|' || e.b AS steps FROM one JOIN e ON e.a = one.n1 WHERE e.b <> one.seed AND e.b <> one.n1""")
 def path_expand_2hop(spark, d):
     g = kg(spark, d)
