@@ -590,3 +590,22 @@ def path_expand_from_suppliers(spark, d):
     start = g.triples.where((F.col("p") == TYPE) & (F.col("o") == SC + "Supplier")).select(F.col("s").alias("seed_uri"), F.array("s").alias("nodes"))
     one = paths.candidates(g, start, [SC + "inNation"]).select("seed_uri", F.concat("nodes", F.array("neighbor")).alias("nodes"))
     return paths.candidates(g, one).where(F.col("relation") != TYPE).select("seed_uri", "relation", "neighbor")
+
+
+_WORD = "split_part(p_name, ' ', 1) || CASE p_partkey % 5 WHEN 0 THEN 'ed' WHEN 1 THEN 'ing' WHEN 2 THEN 'ted' WHEN 3 THEN 'ying' ELSE 'ting' END"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT {_WORD} AS w FROM part),
+b AS (SELECT w, CASE WHEN ends_with(w, 'ed') THEN CASE WHEN length(w) > 4 AND substr(w, -3, 1) = substr(w, -4, 1) AND substr(w, -4, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(w, -3) WHEN substr(w, -3, 1) IN ('h', 'r', 't') THEN left(w, -2) ELSE left(w, -1) END
+  WHEN ends_with(w, 'ing') THEN CASE WHEN length(w) > 4 AND substr(w, -4, 1) = substr(w, -5, 1) THEN left(w, -4) ELSE left(w, -3) END ELSE w END AS base FROM w)
+SELECT w AS word, base, base || '|' || CASE WHEN ends_with(base, 'e') THEN base || 'd' WHEN ends_with(base, 'y') AND length(base) > 2 AND substr(base, -2, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left(base, -1) || 'ied' ELSE base || 'ed' END || '|' || CASE WHEN ends_with(base, 'e') AND length(base) > 2 THEN left(base, -1) ELSE base END || 'ing' AS forms FROM b""", graph=False)
+def verb_words(spark, d):
+    words = table(spark, d, "part").select(F.expr(_WORD).alias("word")).distinct()
+    base = T.verb_base(F.col("word"))
+    return words.select("word", base.alias("base"), F.array_join(T.verb_forms(base), "|").alias("forms"))
+
+
+@query("SELECT p_partkey, array_to_string([x for x in regexp_extract_all(lower(p_name || ' of the ' || p_type || ', as 2 or an X'), '\\b([a-z]+)\\b', 1) if length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")], '|') AS terms FROM part", graph=False)
+def name_terms(spark, d):
+    text = F.concat("p_name", F.lit(" of the "), "p_type", F.lit(", as 2 or an X"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.terms_of(text), "|").alias("terms"))
