@@ -168,3 +168,32 @@ def test_filter_seeds_word_ratio(spark):
     tops = {k: max(v for (q, m, _), v in exact.items() if (q, m) == k) for k in {(q, m) for q, m, _ in exact}}
     assert all(0 <= v <= 1 for v in exact.values()) and exact.keys() <= {(r["question_id"], r["entity_from"], r["entity_uri"]) for r in rows}
     assert {k for k in groups} == set(tops) and all(tops[w[:2]] == 1.0 for w in want) and alike("a", "ab") == 1.0
+
+
+@pytest.mark.parametrize("small", [0, 5, 100_000])
+def test_components(spark, small):
+    from kgloom.operators.components import connected_components
+
+    rng = random.Random(9)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(i, i + 1) for i in range(200, 230)] + [(7, 7), (None, 3)]
+    root = {i: i for i in range(300)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            root[find(a)] = find(b)
+    linked = {x for a, b in pairs if a is not None and a != b for x in (a, b)}
+    rows = spark.createDataFrame([(None if a is None else (a, "k"), (b, "k")) for a, b in pairs], "a struct<x: int, y: string>, b struct<x: int, y: string>")
+    found = {r["node"]["x"]: r["root"]["x"] for r in connected_components(rows, "a", "b", session.checkpoint, small).collect()}
+    assert found.keys() == linked
+    groups = {}
+    for i in linked:
+        groups.setdefault(find(i), set()).add(i)
+    got = {}
+    for i, r in found.items():
+        got.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values())) and all(r in g for r, g in got.items())
