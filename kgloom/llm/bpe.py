@@ -48,7 +48,7 @@ class Coder:
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.pairs: dict[int, bool] = {}  # what fits() said, a bounded cache
-        self.most_pairs = 400_000
+        self.most_pairs = 300_000
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.parts[i] = (i, i)
@@ -138,7 +138,7 @@ class Unsure(Exception):
 class TextCoder:
     """Splits texts by a pattern and encodes each match on its own; matches are cached."""
 
-    def __init__(self, ranks_file: str, pattern: str, most: int = 300_000):
+    def __init__(self, ranks_file: str, pattern: str, most: int = 200_000):
         import regex
 
         self.coder, self.pattern, self.library = Coder(read_ranks(ranks_file)), pattern, None
@@ -170,7 +170,7 @@ def text_coder(ranks_file: str, pattern: str) -> TextCoder:
     return kept(("bpe", ranks_file, pattern), lambda: TextCoder(ranks_file, pattern))
 
 
-def coders(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def coders(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, the ids and the decoded text of every document."""
 
     def make():
@@ -182,13 +182,15 @@ def coders(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
             ids = [coder.encode(t) for t in texts]
             back = [coder.decode(x) for x in ids]
             out = [doc_ids, [len(x) for x in ids], [hashlib.sha256(",".join(map(shown.__getitem__, x)).encode()).hexdigest() for x in ids], [hashlib.sha256(b).hexdigest() for b in back]]
-            return [*out, ids, [b.decode() for b in back]] if with_ids else out
+            return [*out, *([ids] if with_ids else []), *([[b.decode() for b in back]] if with_text else [])]
 
         return each
 
     fields, schema = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
-        fields, schema = [*fields, ("ids", pa.list_(pa.int32())), ("decoded", pa.string())], schema + ", ids array<int>, decoded string"
+        fields, schema = [*fields, ("ids", pa.list_(pa.int32()))], schema + ", ids array<int>"
+    if with_text:
+        fields, schema = [*fields, ("decoded", pa.string())], schema + ", decoded string"
     return map_rows(id_and_text(docs, id_col, text_col), schema, pa.schema(fields), make)
 
 
@@ -202,7 +204,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as ids, with the hash of what they decode to."""
     import public_tokenizers
 
-    return coders(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).drop("decoded")
+    return coders(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 QUERIES = {"op10_bpe": op10_bpe}
