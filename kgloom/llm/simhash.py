@@ -36,7 +36,7 @@ from kgloom.operators.components import connected_components
 BITS = 64
 #: Wide prints of whole stages: bits, tables, bits of a sample, greatest distance, the shingles of a short text, and the
 #: tables into which an overfull bucket is dealt again.
-WIDE, TABLES, TAKEN, RADIUS, FEW, AGAIN = 256, 32, 8, 80, 40, 12
+WIDE, TABLES, TAKEN, RADIUS, FEW, AGAIN = 256, 32, 8, 80, 40, 2
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -236,62 +236,66 @@ def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     return rows.select("h", "text").mapInArrow(run, "h long, f array<long>, keys array<long>, more array<long>, least array<long>")
 
 
-def _apart(x, i):
+def near_pairs(h, x, radius: int):
+    """Rows (u, v, distance): pairs of h whose prints (rows of x) differ in up to radius bits: all of them, or where they are
+    many those of a tree of least distances, which connects whatever any smaller radius connects."""
     import numpy as np
 
-    return np.bitwise_count(x ^ x[i]).sum(-1, dtype=np.int64)
-
-
-def near_pairs(h, x, radius: int) -> list[tuple[int, int]]:
-    """Pairs of h whose prints (rows of x) differ in up to radius bits: all of them, or where they are many those of a tree
-    of least distances, which connects whatever any smaller radius connects."""
-    import numpy as np
-
-    n, found = len(h), []
-    for at in range(0, n, 256):
-        d = np.bitwise_count(x[at : at + 256, None, :] ^ x[None, at:, :]).sum(-1, dtype=np.int64)
-        i, j = np.nonzero(d <= radius)
-        ahead = i < j
-        found += zip((i[ahead] + at).tolist(), (j[ahead] + at).tolist())
-        if len(found) > 16 * n + 64:
-            break
-    else:
-        return [(int(h[i]), int(h[j])) for i, j in found]
-    best, source, left, found = np.full(n, WIDE + 1), np.zeros(n, np.int64), np.ones(n, bool), []
-    at = 0
-    for _ in range(n - 1):
-        left[at] = False
-        d = _apart(x, at)
-        nearer = left & (d < best)
-        best[nearer], source[nearer] = d[nearer], at
-        at = int(np.where(left, best, WIDE + 2).argmin())
-        if best[at] <= radius:
-            found.append((int(h[source[at]]), int(h[at])))
-    return found
+    n = len(x)
+    bits = 2 * np.unpackbits(x.view(np.uint8), axis=1).astype(np.float32) - 1
+    d = ((WIDE - bits @ bits.T) / 2).astype(np.int16)
+    i, j = np.nonzero(d <= radius)
+    i, j = i[i < j], j[i < j]
+    if len(i) <= 16 * n + 64:
+        return np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j]), d[i, j]], axis=1)
+    best, source, out = d[0].copy(), np.zeros(n, np.int64), np.empty((n - 1, 2), np.int64)
+    best[0] = WIDE + 1
+    taken = np.zeros(n, bool)
+    taken[0] = True
+    for k in range(n - 1):
+        at = int(best.argmin())
+        out[k] = source[at], at
+        taken[at] = True
+        nearer = (d[at] < best) & ~taken
+        best[nearer], source[nearer] = d[at][nearer], at
+        best[at] = WIDE + 1
+    i, j = out.T
+    kept = d[i, j] <= radius
+    return np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j]), d[i, j]], axis=1)[kept]
 
 
 PRINT = tuple(f"f{i}" for i in range(WIDE // BITS))
 
 
 def bucket_pairs(each: DataFrame) -> DataFrame:
-    """(u, v): the pairs of near_pairs in each bucket (key, part) of rows (key, part, h, f0, ...)."""
+    """(u, v, d): the near_pairs of each bucket (key, part) of rows (key, part, h, f0, ...), with their distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            u, v, d = np.unique(np.concatenate(held), axis=0).T
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
+
         for batch in batches:
-            pairs = []
-            for held in batch.column(0):
-                flat = held.values
+            for bucket in batch.column(0):
+                flat = bucket.values
                 h, first = np.unique(flat.field("h").to_numpy(), return_index=True)
                 if len(h) > 1:
-                    pairs += near_pairs(h, np.stack([flat.field(f).to_numpy() for f in PRINT], axis=1)[first].view(np.uint64), RADIUS)
-            if pairs:
-                u, v = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                    found = near_pairs(h, np.stack([flat.field(f).to_numpy() for f in PRINT], axis=1)[first].view(np.uint64), RADIUS)
+                    held.append(found)
+                    size += len(found)
+                if size > 100_000:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     buckets = each.groupBy("key", "part").agg(F.collect_list(F.struct("h", *PRINT)).alias("held")).where(F.size("held") > 1).select("held")
-    return buckets.mapInArrow(run, "u long, v long")
+    return buckets.mapInArrow(run, "u long, v long, d int")
 
 
 def overfull(each: DataFrame, most: int) -> DataFrame:
@@ -299,11 +303,11 @@ def overfull(each: DataFrame, most: int) -> DataFrame:
     return stored(each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "overfull")
 
 
-def candidates(rows: DataFrame, width: int, threshold: float, most: int = 4096) -> DataFrame:
-    """(u, v): pairs of texts (keys h) to be compared.
+def candidates(rows: DataFrame, width: int, threshold: float, most: int = 2048) -> DataFrame:
+    """(u, v, d): pairs of texts (keys h) to be compared, and how many bits of their prints differ.
 
-    A bucket of over ``most`` texts is dealt again by AGAIN further values of its members, of which pairs within the
-    threshold share one with high probability. What is overfull even then (many texts that are all alike) is compared in parts of
+    A bucket of over ``most`` texts is dealt again by AGAIN further values of its members (a pair at 0.8 still meets in
+    some table with probability 0.99). What is overfull even then (many texts that are all alike) is compared in parts of
     about ``most`` texts, each together with four texts that are the same for all parts of the bucket. So no task holds
     an unbounded group.
     """
@@ -352,9 +356,22 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
     texts = rows.dropDuplicates(["h"]).join(needed, "h", "left_semi")  # copies go in their tasks, before any shuffle
     sets = stored(shingle_sets(texts, width), "sets")
     of = lambda c: sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = F.size(F.array_intersect("su", "sv"))
-    alike = pairs.join(of("u"), "u").join(of("v"), "v").where(both / (F.size("su") + F.size("sv") - both) >= threshold)
-    return connected_components(alike.select("u", "v"), "u", "v", checkpoint).withColumnRenamed("node", "h")
+
+    def alike(some: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("su", "sv"))
+        return some.join(of("u"), "u").join(of("v"), "v").where(both / (F.size("su") + F.size("sv") - both) >= threshold).select("u", "v")
+
+    # The nearest candidate of each text first; then all candidates whose texts are not in one group by that.
+    way = lambda a, b: pairs.select(F.col(a).alias("a"), F.struct("d", F.col(b).alias("b")).alias("x"))
+    nearest = way("u", "v").unionByName(way("v", "u")).groupBy("a").agg(F.min("x").alias("x")).select(F.least("a", "x.b").alias("u"), F.greatest("a", "x.b").alias("v")).distinct()
+    first = stored(alike(nearest), "alike")
+    roots = connected_components(first, "u", "v", checkpoint)
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = pairs.select("u", "v").distinct().join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
+    rest = stored(alike(apart.select("u", "v").join(nearest, ["u", "v"], "left_anti")), "alike")
+    if rest.isEmpty():
+        return roots.withColumnRenamed("node", "h")
+    return connected_components(first.unionByName(rest), "u", "v", checkpoint).withColumnRenamed("node", "h")
 
 
 def one_of_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
