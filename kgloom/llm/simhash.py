@@ -13,7 +13,8 @@ its 65 such words and members meet at the words. Groups are the connected compon
 The pipeline's stage takes five-word shingles and Jaccard similarity 0.8 (``one_of_similar``). No family of covering masks
 reaches that far (such pairs differ in some 15 % of their bits), so wide prints of several fingerprints are cut into
 samples of bits, each anchored at a least shingle hash, so that buckets hold texts that share text whatever the size of the
-corpus. Candidates are then compared on their shingles.
+corpus. Candidates are then compared on their shingles. Where a bucket has too many of them, a tree of near ones comes first,
+and then all pairs of its texts that are still in different groups (``across``), so that no link of a bucket is lost.
 
 Nulls and edge cases: a null text is empty; a text without words has fingerprint zero, linked like any other; a null
 doc_id takes part but never names a component unless its group has no other id. Repeated rows are returned each. An
@@ -34,9 +35,8 @@ from kgloom.llm.suffix_dedup import mixed
 from kgloom.operators.components import connected_components
 
 BITS = 64
-#: Wide prints of whole stages: bits, tables, bits of a sample, greatest distance, the shingles of a short text, and the
-#: tables into which an overfull bucket is dealt again.
-WIDE, TABLES, TAKEN, RADIUS, FEW, AGAIN = 256, 32, 8, 80, 40, 2
+#: Wide prints of whole stages: bits, tables, bits of a sample, greatest distance, and the shingles of a short text.
+WIDE, TABLES, TAKEN, RADIUS, FEW = 256, 32, 8, 80, 40
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -205,8 +205,8 @@ def least_of_bins(hashes):
 
 
 def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(h, f, keys, more, least) of rows (h, text): the print as four longs, the keys of TABLES buckets in which the text is
-    compared, the same number of values that divide a bucket further, and for short texts the shingles they also meet at."""
+    """(h, f, keys, least) of rows (h, text): the print as four longs, the keys of TABLES buckets in which the text is
+    compared, and for short texts the shingles they also meet at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -225,29 +225,37 @@ def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
                 found = shingle_hashes(text, width)
                 bits = wide_bits(found)
                 sample, least = bits[places] @ powers, least_of_bins(found)
-                keys, more = mixed(least ^ mixed((sample + tables + 1).astype(np.uint64))), mixed(least + (sample % 16).astype(np.uint64))
+                keys = mixed(least ^ mixed((sample + tables + 1).astype(np.uint64)))
                 # two sets within the threshold share one of so many least hashes
                 short = found[: len(found) - math.ceil(threshold * len(found)) + 1] if len(found) <= FEW else found[:0]
-                out.append((h, np.packbits(bits, bitorder="little").view(np.int64), keys.view(np.int64), more.view(np.int64), short.view(np.int64)))
+                out.append((h, np.packbits(bits, bitorder="little").view(np.int64), keys.view(np.int64), short.view(np.int64)))
             if out:
                 h, *arrays = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array(x, longs) for x in arrays)], names=["h", "f", "keys", "more", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), *(pa.array(x, longs) for x in arrays)], names=["h", "f", "keys", "least"])
 
-    return rows.select("h", "text").mapInArrow(run, "h long, f array<long>, keys array<long>, more array<long>, least array<long>")
+    return rows.select("h", "text").mapInArrow(run, "h long, f array<long>, keys array<long>, least array<long>")
 
 
-def near_pairs(h, x, radius: int):
+def distances(x, y):
+    """How many bits differ between each print of x and each of y (rows of unsigned 64-bit numbers)."""
+    import numpy as np
+
+    a, b = (2 * np.unpackbits(p.view(np.uint8), axis=1).astype(np.float32) - 1 for p in (x, y))
+    return ((WIDE - a @ b.T) / 2).astype(np.int16)
+
+
+def near_pairs(h, x, radius: int, partial=None):
     """Rows (u, v, distance): pairs of h whose prints (rows of x) differ in up to radius bits: all of them, or where they are
-    many those of a tree of least distances, which connects whatever any smaller radius connects."""
+    many those of a tree of least distances. Then partial() is called, since the other pairs are still to be compared."""
     import numpy as np
 
-    n = len(x)
-    bits = 2 * np.unpackbits(x.view(np.uint8), axis=1).astype(np.float32) - 1
-    d = ((WIDE - bits @ bits.T) / 2).astype(np.int16)
+    n, d = len(x), distances(x, x)
     i, j = np.nonzero(d <= radius)
     i, j = i[i < j], j[i < j]
     if len(i) <= 16 * n + 64:
         return np.stack([np.minimum(h[i], h[j]), np.maximum(h[i], h[j]), d[i, j]], axis=1)
+    if partial:
+        partial()
     best, source, out = d[0].copy(), np.zeros(n, np.int64), np.empty((n - 1, 2), np.int64)
     best[0] = WIDE + 1
     taken = np.zeros(n, bool)
@@ -268,24 +276,29 @@ PRINT = tuple(f"f{i}" for i in range(WIDE // BITS))
 
 
 def bucket_pairs(each: DataFrame) -> DataFrame:
-    """(u, v, d): the near_pairs of each bucket (key, part) of rows (key, part, h, f0, ...), with their distances."""
+    """(u, v, d, key): the near_pairs of each bucket (key, part) of rows (key, part, h, f0, ...), with their distances; a
+    bucket whose pairs are not all there has a row of its key alone."""
+    kind = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("d", pa.int32()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        held, size = [], 0
+        held, size, partial = [], 0, []
 
         def flush() -> pa.RecordBatch:
-            u, v, d = np.unique(np.concatenate(held), axis=0).T
+            u, v, d = np.unique(np.concatenate(held), axis=0).T if held else np.empty((3, 0), np.int64)
+            none, keys = [None] * len(partial), [None] * len(u) + partial
+            columns = [pa.concat_arrays([pa.array(x.astype(t)), pa.array(none, pa.from_numpy_dtype(t))]) for x, t in ((u, np.int64), (v, np.int64), (d, np.int32))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
+            partial.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.int64())], schema=kind)
 
         for batch in batches:
-            for bucket in batch.column(0):
+            for key, bucket in zip(*batch.columns, strict=True):
                 flat = bucket.values
                 h, first = np.unique(flat.field("h").to_numpy(), return_index=True)
                 if len(h) > 1:
-                    found = near_pairs(h, np.stack([flat.field(f).to_numpy() for f in PRINT], axis=1)[first].view(np.uint64), RADIUS)
+                    found = near_pairs(h, np.stack([flat.field(f).to_numpy() for f in PRINT], axis=1)[first].view(np.uint64), RADIUS, lambda key=key: partial.append(key.as_py()))
                     held.append(found)
                     size += len(found)
                 if size > 100_000:
@@ -294,8 +307,8 @@ def bucket_pairs(each: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    buckets = each.groupBy("key", "part").agg(F.collect_list(F.struct("h", *PRINT)).alias("held")).where(F.size("held") > 1).select("held")
-    return buckets.mapInArrow(run, "u long, v long, d int")
+    buckets = each.groupBy("key", "part").agg(F.collect_list(F.struct("h", *PRINT)).alias("held")).where(F.size("held") > 1).select("key", "held")
+    return buckets.mapInArrow(run, "u long, v long, d int, key long")
 
 
 def overfull(each: DataFrame, most: int) -> DataFrame:
@@ -303,33 +316,128 @@ def overfull(each: DataFrame, most: int) -> DataFrame:
     return stored(each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "overfull")
 
 
+def bucketed(found: DataFrame, *more: str) -> DataFrame:
+    """(key, t, h, f0, ..., more) of sketches: each text in its buckets, those of short texts behind those of the tables."""
+    own = ["h", *(F.col("f")[i].alias(f) for i, f in enumerate(PRINT)), *more]
+    short = found.select(F.explode("least").alias("key"), F.lit(TABLES).alias("t"), *own)
+    return found.select(F.posexplode("keys").alias("t", "key"), *own).select(short.columns).unionByName(short)
+
+
 def candidates(rows: DataFrame, width: int, threshold: float, most: int = 2048) -> DataFrame:
-    """(u, v, d): pairs of texts (keys h) to be compared, and how many bits of their prints differ.
+    """(u, v, d, key): pairs of texts (keys h) to be compared, and how many bits of their prints differ; rows of a key alone are
+    the buckets whose pairs are not all there. rows: (h, text), or sketches of them.
 
-    A bucket of over ``most`` texts is dealt again by AGAIN further values of its members (a pair at 0.8 still meets in
-    some table with probability 0.99). What is overfull even then (many texts that are all alike) is compared in parts of
-    about ``most`` texts, each together with four texts that are the same for all parts of the bucket. So no task holds
-    an unbounded group.
+    A bucket of over ``most`` texts is compared in parts of about that many, each together with four texts that are the same
+    for all parts of the bucket, so that a group of texts that are all alike is connected and no task holds an unbounded group.
+    Its pairs across parts are not there, so it has such a row too. ``across`` compares what is left.
     """
-    found = stored(sketches(rows, width, threshold), "sketches")
-    longs = [F.col("f")[i].alias(f) for i, f in enumerate(PRINT)]
-    keyed = found.select("h", *longs, "more", F.posexplode("keys").alias("t", "key"))
-    short = found.select("h", *longs, "more", F.lit(0).alias("t"), F.explode("least").alias("key"))
-    keyed = keyed.unionByName(short)
+    found = rows if "keys" in rows.columns else stored(sketches(rows, width, threshold), "sketches")
+    keyed = bucketed(found)
     full = overfull(keyed, most)
-    if full.isEmpty():
-        return bucket_pairs(keyed.select("key", F.lit(0).alias("part"), "h", *PRINT)).distinct()
     pairs = bucket_pairs(keyed.join(full, "key", "left_anti").select("key", F.lit(0).alias("part"), "h", *PRINT))
-    deal = F.transform(F.sequence(F.lit(1), F.lit(AGAIN)), lambda u: F.xxhash64("key", u, F.get("more", (F.col("t") + u) % TABLES)))
-    finer = stored(keyed.join(full.select("key"), "key").select("h", *PRINT, F.explode(deal).alias("key")), "finer")
-    still = overfull(finer, most)
-    pairs = pairs.unionByName(bucket_pairs(finer.join(still, "key", "left_anti").select("key", F.lit(0).alias("part"), "h", *PRINT)))
-    crowd = finer.join(still, "key").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    if full.isEmpty():
+        return pairs.distinct()
+    crowd = keyed.join(full, "key").withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
     hubs = crowd.groupBy("key", "parts").agg(*(F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("r"), "h", *PRINT)).alias(f"b{i}") for i in range(4)))
     hubs = hubs.select("key", "parts", F.explode(F.array(*(f"b{i}" for i in range(4)))).alias("b"))
     hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b.h", *(F.col(f"b.{f}").alias(f) for f in PRINT))
     dealt = crowd.select("key", F.pmod(F.xxhash64("h", F.lit(9)), F.col("parts")).cast("int").alias("part"), "h", *PRINT)
-    return pairs.unionByName(bucket_pairs(dealt.unionByName(hubs))).distinct()
+    none = F.lit(None).cast("long")
+    return pairs.unionByName(bucket_pairs(dealt.unionByName(hubs))).unionByName(full.select(none.alias("u"), none.alias("v"), none.cast("int").alias("d"), "key")).distinct()
+
+
+def in_blocks(members: DataFrame, most: int) -> DataFrame:
+    """Rows of members (key, h, small, ...) dealt to blocks (key, p, q): every member of part p, and as ``asks`` the small ones of
+    part q, so that in one of the blocks each small member meets each member, and no block holds many more than 2 ``most`` rows."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("small"), 1)).alias("s")).where("s > 0")
+    share = lambda c: F.ceil(F.col(c) / most).cast("int")
+    part = lambda seed, c: F.pmod(F.xxhash64("h", F.lit(seed)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rows = members.join(sizes.select("key", share("n").alias("ps"), share("s").alias("qs")), "key")
+    own = [c for c in members.columns if c != "key"]
+    told = rows.select("key", part(7, "ps").alias("p"), every("qs").alias("q"), F.lit(False).alias("asks"), *own)
+    asked = rows.where("small").select("key", every("ps").alias("p"), part(8, "qs").alias("q"), F.lit(True).alias("asks"), *own)
+    return told.unionByName(asked).groupBy("key", "p", "q").agg(F.collect_list(F.struct("asks", *own)).alias("held")).select("key", "held")
+
+
+def _block(bucket):
+    """(fields, asks, others): the fields of a block as arrays by name, and the rows of those that ask and of all members."""
+    import numpy as np
+
+    flat = bucket.values
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type if f.name != "asks"}
+    asks = flat.field("asks").to_numpy(zero_copy_only=False)
+    return fields, np.flatnonzero(asks), np.flatnonzero(~asks)
+
+
+def across(found: DataFrame, partial: DataFrame, roots: DataFrame, sets_of, threshold: float, most: int = 2048) -> DataFrame | None:
+    """(u, v): links that join all pairs of texts in one bucket that are similar and not in one group yet, or None if each
+    bucket is within one group. found: sketches; partial: the keys of the buckets; roots: (node, root) of what is linked so
+    far; sets_of(hs): (h, shingles) of texts.
+
+    In each bucket the members outside its largest group (the small ones) are compared with all others, in blocks of bounded
+    size. The prints tell first which texts have a candidate (a pair counts in the first of the tables where it meets); only
+    those travel with their shingles, and their block links them there, so that pairs are never rows.
+    """
+    rooted = found.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    groups = bucketed(rooted, "root").join(partial, "key", "left_semi").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups"))
+    open_ = stored(groups.where("groups > 1").select("key", F.col("top.root").alias("top")), "open")
+    if open_.isEmpty():
+        return None
+    named = bucketed(rooted, "root", "keys").join(open_, "key")
+    blocks = in_blocks(named.select("key", "t", "h", "root", (F.col("root") != F.col("top")).alias("small"), *PRINT, "keys"), most)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for key, bucket in zip(*batch.columns, strict=True):
+                x, asks, told = _block(bucket)
+                prints, t = np.stack([x[f] for f in PRINT], axis=1).view(np.uint64), int(x["t"][0])
+                keys, used = np.stack(x["keys"])[:, :t], np.zeros(len(x["h"]), bool)
+                near = distances(prints[asks], prints[told]) <= RADIUS
+                near &= x["root"][asks, None] != x["root"][told]
+                near &= ~x["small"][told] | (x["h"][told] > x["h"][asks, None])  # of two small ones either asks
+                for i, row in zip(asks.tolist(), near, strict=True):
+                    j = told[row]
+                    j = j[~(keys[j] == keys[i]).any(1)]
+                    used[j] = True
+                    used[i] |= len(j) > 0
+                if used.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(used.sum(), key.as_py())), *(pa.array(x[c][used]) for c in ("h", "root", "small"))], names=["key", "h", "root", "small"])
+
+    left = stored(blocks.mapInArrow(meet, "key long, h long, root long, small boolean").distinct(), "left")
+    if left.isEmpty():
+        return None
+    blocks = in_blocks(left.join(sets_of(left.select("h").distinct()), "h"), most)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for bucket in batch.column(1):
+                x, asks, told = _block(bucket)
+                h, small, group = x["h"], x["small"], np.unique(x["root"], return_inverse=True)[1]
+                sizes = np.array([len(s) for s in x["shingles"]])
+                values, flat = np.unique(np.concatenate(x["shingles"]), return_inverse=True)
+                sets, has = np.split(flat, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
+                for i in asks.tolist():
+                    j = told[(group[told] != group[i]) & (~small[told] | (h[told] > h[i])) & (np.minimum(sizes[told], sizes[i]) >= threshold * np.maximum(sizes[told], sizes[i]) - 1)]
+                    if not len(j):
+                        continue
+                    has[sets[i]] = True
+                    both = np.add.reduceat(has[np.concatenate([sets[k] for k in j])], np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
+                    has[sets[i]] = False
+                    j = j[both / (sizes[i] + sizes[j] - both) >= threshold]
+                    joined, first = np.unique(group[j], return_index=True)
+                    out += [(h[i], h[k]) for k in j[first]]
+                    group[np.isin(group, joined)] = group[i]
+            if out:
+                u, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return stored(blocks.mapInArrow(link, "u long, v long").distinct(), "across")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -348,13 +456,17 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
 
     Candidates agree in one of TABLES buckets, each of a least shingle hash and TAKEN bits of the wide SimHash print, and
     differ in up to RADIUS bits: a pair just at 0.8 does so with probability 0.999. Texts of up to FEW shingles
-    also meet at shingles, where no pair is missed. All candidates are checked on their shingles.
+    also meet at shingles, where no pair is missed. All candidates are checked on their shingles, but those of texts that
+    are in one group already.
     """
     rows = id_and_text(docs, id_col, text_col).select(F.xxhash64("text").alias("h"), "text")
-    pairs = stored(candidates(rows, width, threshold), "pairs")
+    held = stored(sketches(rows, width, threshold), "sketches")
+    found = stored(candidates(held, width, threshold), "pairs")
+    pairs, partial = found.where("u IS NOT NULL").select("u", "v", "d"), stored(found.where("u IS NULL").select("key").distinct(), "partial")
+    # copies go in their tasks, before any shuffle
+    sets_of = lambda some: shingle_sets(rows.dropDuplicates(["h"]).join(some, "h", "left_semi"), width)
     needed = stored(pairs.select("u").union(pairs.select("v")).distinct().toDF("h"), "needed")
-    texts = rows.dropDuplicates(["h"]).join(needed, "h", "left_semi")  # copies go in their tasks, before any shuffle
-    sets = stored(shingle_sets(texts, width), "sets")
+    sets = stored(sets_of(needed), "sets")
     of = lambda c: sets.select(F.col("h").alias(c), F.col("shingles").alias(f"s{c}"))
 
     def alike(some: DataFrame) -> DataFrame:
@@ -364,14 +476,19 @@ def similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str
     # The nearest candidate of each text first; then all candidates whose texts are not in one group by that.
     way = lambda a, b: pairs.select(F.col(a).alias("a"), F.struct("d", F.col(b).alias("b")).alias("x"))
     nearest = way("u", "v").unionByName(way("v", "u")).groupBy("a").agg(F.min("x").alias("x")).select(F.least("a", "x.b").alias("u"), F.greatest("a", "x.b").alias("v")).distinct()
-    first = stored(alike(nearest), "alike")
-    roots = connected_components(first, "u", "v", checkpoint)
+    linked = stored(alike(nearest), "alike")
+    roots = connected_components(linked, "u", "v", checkpoint)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     apart = pairs.select("u", "v").distinct().join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
     rest = stored(alike(apart.select("u", "v").join(nearest, ["u", "v"], "left_anti")), "alike")
-    if rest.isEmpty():
-        return roots.withColumnRenamed("node", "h")
-    return connected_components(first.unionByName(rest), "u", "v", checkpoint).withColumnRenamed("node", "h")
+    if not rest.isEmpty():
+        linked = linked.unionByName(rest)
+        roots = connected_components(linked, "u", "v", checkpoint)
+    if not partial.isEmpty():
+        more = across(held, partial, roots, sets_of, threshold)
+        if more is not None:
+            roots = connected_components(linked.unionByName(more), "u", "v", checkpoint)
+    return roots.withColumnRenamed("node", "h")
 
 
 def one_of_similar(docs: DataFrame, threshold: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

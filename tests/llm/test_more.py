@@ -115,6 +115,29 @@ def test_overfull_buckets_lose_no_group(spark):
     assert left == [0, 40, 80]
 
 
+@pytest.mark.parametrize("most", [25, 2048])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, most):
+    """Texts that are all candidates of each other, some of them just within the threshold."""
+    rng, base, texts = random.Random(345), passage(345, 345).split(), []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(345), 5):
+            copy[at] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [set(simhash.shingle_hashes(t).tolist()) for t in texts]
+    group = list(range(150))
+    for j in range(150):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert 10 < len(set(group)) < 140
+    plain, rest = simhash.candidates, simhash.across
+    monkeypatch.setattr(simhash, "candidates", lambda *args: plain(*args, most=most))
+    monkeypatch.setattr(simhash, "across", lambda *args: rest(*args, most=most))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.one_of_similar(docs).collect()) == sorted(set(group))
+
+
 @pytest.mark.parametrize("most", [2, 8192])
 def test_repeats_of_frequent_suffixes(spark, most):
     rng = random.Random(5)
