@@ -347,14 +347,13 @@ def candidates(rows: DataFrame, width: int, threshold: float, most: int = 2048)
 
 
 def in_blocks(members: DataFrame, most: int) -> DataFrame:
-    """Rows of members (key, h, small, ...) dealt to blocks (key, p, q): every member of part p, and as ``asks`` the small ones of
+    """Rows of members (key, n, s, h, small, ...), n of a key and s of them small, dealt to blocks (key, p, q): every member of part p, and as ``asks`` the small ones of
     part q, so that in one of the blocks each small member meets each member, and no block holds many more than 2 ``most`` rows."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("small"), 1)).alias("s")).where("s > 0")
     share = lambda c: F.ceil(F.col(c) / most).cast("int")
     part = lambda seed, c: F.pmod(F.xxhash64("h", F.lit(seed)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    rows = members.join(sizes.select("key", share("n").alias("ps"), share("s").alias("qs")), "key")
-    own = [c for c in members.columns if c != "key"]
+    rows = members.withColumns({"ps": share("n"), "qs": share("s")})
+    own = [c for c in members.columns if c not in ("key", "n", "s")]
     told = rows.select("key", part(7, "ps").alias("p"), every("qs").alias("q"), F.lit(False).alias("asks"), *own)
     asked = rows.where("small").select("key", every("ps").alias("p"), part(8, "qs").alias("q"), F.lit(True).alias("asks"), *own)
     return told.unionByName(asked).groupBy("key", "p", "q").agg(F.collect_list(F.struct("asks", *own)).alias("held")).select("key", "held")
@@ -380,12 +379,12 @@ def across(found: DataFrame, partial: DataFrame, roots: DataFrame, sets_of, thre
     those travel with their shingles, and their block links them there, so that pairs are never rows.
     """
     rooted = found.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    groups = bucketed(rooted, "root").join(partial, "key", "left_semi").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("groups"))
-    open_ = stored(groups.where("groups > 1").select("key", F.col("top.root").alias("top")), "open")
+    groups = bucketed(rooted, "root").join(partial, "key", "left_semi").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    open_ = stored(groups.where("top.n < n").select("key", "n", (F.col("n") - F.col("top.n")).alias("s"), F.col("top.root").alias("top")), "open")
     if open_.isEmpty():
         return None
     named = bucketed(rooted, "root", "keys").join(open_, "key")
-    blocks = in_blocks(named.select("key", "t", "h", "root", (F.col("root") != F.col("top")).alias("small"), *PRINT, "keys"), most)
+    blocks = in_blocks(named.select("key", "n", "s", "t", "h", "root", (F.col("root") != F.col("top")).alias("small"), *PRINT, "keys"), most)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -409,7 +408,8 @@ def across(found: DataFrame, partial: DataFrame, roots: DataFrame, sets_of, thre
     left = stored(blocks.mapInArrow(meet, "key long, h long, root long, small boolean").distinct(), "left")
     if left.isEmpty():
         return None
-    blocks = in_blocks(left.join(sets_of(left.select("h").distinct()), "h"), most)
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("small"), 1)).alias("s"))
+    blocks = in_blocks(left.join(sizes, "key").join(stored(sets_of(left.select("h").distinct()), "sets"), "h"), most)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
