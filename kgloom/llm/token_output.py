@@ -46,10 +46,13 @@ class Generations:
         if len(self.now) > self.most:
             self.now, self.old = {}, self.now
         now, old = self.now, self.old
-        left = {k for k in keys if k not in now}
-        again = {k for k in left if k in old} if old else set()
-        now.update((k, old[k]) for k in again)
-        return left - again
+        left = keys.difference(now)
+        if not old:
+            return left
+        new = left.difference(old)
+        again = left - new
+        now.update(zip(again, map(old.__getitem__, again), strict=True))
+        return new
 
 
 class WordEncoder:
@@ -91,26 +94,33 @@ class WordEncoder:
         """Encode the chunks (texts between white space, as they stand) that are not known."""
         import numpy as np
 
-        parts = {}
+        single, parts = {}, {}  # chunks of one word, and of several
         for c in self.chunks.missing(chunks):
             if c.isascii():
-                parts[c] = (c.lower(),) if c.isalpha() else self.find(c.lower())
+                if c.isalpha():
+                    single[c] = c.lower()
+                    continue
+                ws = self.find(c.lower())
             elif self.common(c):
-                parts[c] = self.find(unicodedata.normalize("NFC", c).lower())
+                ws = self.find(unicodedata.normalize("NFC", c).lower())
             else:  # the library's character data may be of another Unicode version
                 self.chunks.now[c] = self._library(c)
-        new = list(self.words.missing({w for ws in parts.values() for w in ws}))
+                continue
+            if len(ws) == 1:
+                single[c] = ws[0]
+            else:
+                parts[c] = ws
+        new = list(self.words.missing(set(single.values()).union(*parts.values())))
         if new:
             ids = np.array(self.plain.encode(new, is_pretokenized=True, add_special_tokens=False).ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(new):
-                data, width, at = ids.tobytes(), int(self.kind[2:]), 0
-                for word, stop in zip(new, (stops * width).tolist(), strict=True):
-                    self.words.now[word] = data[at:stop]
-                    at = stop
+                data, ends = ids.tobytes(), (stops * int(self.kind[2:])).tolist()
+                self.words.now.update(zip(new, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
                 self.words.now.update((w, self._library(w)) for w in new)
         known = self.words.now.__getitem__
+        self.chunks.now.update(zip(single, map(known, single.values()), strict=True))
         self.chunks.now.update((c, b"".join(map(known, ws))) for c, ws in parts.items())
 
     def encode_all(self, texts: list[str], group: int = 512) -> list[bytes]:

@@ -244,6 +244,18 @@ def naive_items(text):
     return out
 
 
+def test_word_encoder_of_small_caches():
+    """Entries are taken over from the old generation and evicted ones encoded again, with the library's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, rng = token_output.WordEncoder(path, most=20), random.Random(3)
+    texts = [" ".join(rng.choice(["Word,", "word", "WORD", "naïve", "e\u0301t\u00e9", "a-b.c", f"w{rng.randrange(40)}x", passage(rng.randrange(30), 3)]) for _ in range(30)) for _ in range(40)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+    assert encoder.encode_all(texts, group=3) == want
+    memo = token_output.Generations(1)
+    memo.now.update(a=1, b=2)
+    assert memo.missing({"a", "c"}) == {"c"} and memo.now == {"a": 1} and memo.old == {"a": 1, "b": 2}
+
+
 def test_pages_hold_whole_texts(spark):
     texts = ["", "one", "a\nb\n\nc <b>&amp; d</b>\n\x0b e\u00a0f", "<figure><figcaption>x\n</figure>\n" + passage(3, 400), passage(4, 900).replace(" ", "\n", 30), "]]>--><!-- \n <script>\nx"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (3, texts[1])], "doc_id long, text string").repartition(3)
