@@ -17,8 +17,9 @@ at another place of the same one. White space between words may differ.
    Words themselves are compared, not hashes.
 4. Repeated windows of a document that overlap join to maximal spans.
 
-Suffixes of which there are over ``most`` are not brought together: their windows are hashed (128 bits) and counted with
-partial sums in each task, which finds the same windows.
+Suffixes of which there are over ``most`` are not brought together: their windows are hashed (128 bits), which finds the same
+ones. Documents with such suffixes are dealt over blocks, of some ``BLOCK`` suffixes each; a block counts and looks up each distinct
+window once, however many of its documents have it.
 
 Exact copies are collapsed before step 3 by a 96-bit hash of the text: the copy with the least doc_id stands for all, the
 others are one span if they have ``min_words`` words, and so is the first, as a kept one (``whole`` marks these spans). The
@@ -166,43 +167,47 @@ def shared_suffixes(found: DataFrame, parts: int) -> DataFrame:
     return found.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).mapInArrow(run, "suffix long, h long, m int, at int")
 
 
-CONTEXT = "suffix long, h long, m int, doc_id long, at int, lo int, words binary, starts array<int>, stops array<int>, w long, x long"
+CONTEXT = "suffix long, h long, m int, doc_id long, at int, lo int, words binary, starts array<int>, stops array<int>, places array<int>, hashes binary"
 
 
 def contexts(rows: DataFrame, min_words: int, window: int, size: int) -> DataFrame:
     """The shared suffixes of rows (doc_id, h, m, text, ats) with all that their windows need; ats are (at, suffix, many).
 
-    A suffix that is not one of very many has its windows (from word ``lo`` on, one for each of ``starts``) and their
-    words joined by spaces; of one that is, each window is a row with the hashes w and x of its words.
+    A suffix that is not one of very many has its windows (from word ``lo`` on, one for each of ``starts``) and their words
+    joined by spaces; all others of a document are one row, with the ``places`` of their windows and 16 bytes of hash for each.
     """
-    kind = pa.schema([("suffix", pa.int64()), ("h", pa.int64()), ("m", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("words", pa.binary()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("w", pa.int64()), ("x", pa.int64())])
+    kind = pa.schema([("suffix", pa.int64()), ("h", pa.int64()), ("m", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("words", pa.binary()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        from xxhash import xxh128_intdigest
+        from xxhash import xxh128_digest
 
         for batch in batches:
             for doc_id, h, m, text, ats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = Words(text)
                 kept = words.kept(min_words, window, size)  # rises along the text
                 starts, stops = (x.astype(np.int32) for x in word_places(text))
-                out = []
+                out, often = [], []
                 for a in sorted(ats, key=lambda a: a["at"]):
                     at = a["at"]
                     lo, end = (int(x) for x in np.searchsorted(kept, [at, at + 1]))
-                    if not a["many"]:
+                    if a["many"]:
+                        often += range(lo, end)
+                    else:
                         out.append((a["suffix"], h, m, doc_id, at, lo, b" ".join(words.words[lo : end + min_words - 1]), starts[lo:end], stops[lo + min_words - 1 : end + min_words - 1], None, None))
-                        continue
-                    for i in range(lo, end):
-                        both = xxh128_intdigest(b" ".join(words.words[i : i + min_words]))
-                        w, x = (v - (1 << 64) if v >> 63 else v for v in divmod(both, 1 << 64))
-                        out.append((a["suffix"], h, m, doc_id, i, i, None, starts[i : i + 1], stops[i + min_words - 1 : i + min_words], w, x))
+                if often:
+                    hashes = b"".join(xxh128_digest(b" ".join(words.words[i : i + min_words])) for i in often)
+                    often = np.array(often, np.int32)
+                    out.append((None, h, m, doc_id, None, None, None, starts[often], stops[often + min_words - 1], often, hashes))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
 
     return rows.select("doc_id", "h", "m", "text", "ats").mapInArrow(run, CONTEXT)
 
 
+#: Very frequent suffixes of the documents of a block, about.
+BLOCK = 512
+
 FOUND = "h long, m int, kept boolean, at int, last int, start int, stop int, first_id long"
 
 
@@ -303,13 +308,66 @@ def extended(found: DataFrame, parts: int, min_words: int, window: int, group: i
     return found.select(*columns).repartitionByRange(parts, "suffix").sortWithinPartitions("suffix").mapInArrow(run, FOUND)
 
 
-def counted(found: DataFrame) -> DataFrame:
-    """FOUND rows of the windows of very frequent suffixes, by the hashes of their words."""
-    place = F.struct("doc_id", "h", "m", "at")
-    firsts = found.groupBy("w", "x").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "x", "first")
-    firsts = stored(firsts, "firsts")  # apart from the join, so that a window of very many documents can be split there
-    joined = found.join(firsts, ["w", "x"])
-    return joined.select("h", "m", (place == F.col("first")).alias("kept"), "at", F.col("at").alias("last"), F.col("starts")[0].alias("start"), F.col("stops")[0].alias("stop"), F.col("first.doc_id").alias("first_id"))
+PLACE = pa.struct([("doc_id", pa.int64()), ("h", pa.int64()), ("m", pa.int32()), ("at", pa.int32())])
+
+
+def _windows(t: pa.Table):
+    """(row, doc_id, h, m, at, w, x) of all windows of the documents in t, in their order; row is the document's."""
+    import numpy as np
+
+    places = t.column("places").combine_chunks()
+    row = np.repeat(np.arange(len(t)), places.value_lengths().to_numpy())
+    doc_id, h, m = (t.column(c).to_numpy()[row] for c in ("doc_id", "h", "m"))
+    w, x = np.frombuffer(b"".join(t.column("hashes").to_pylist()), "<i8").reshape(-1, 2).T
+    return row, doc_id, h, m, places.flatten().to_numpy(), w, x
+
+
+def lookups(found: DataFrame) -> DataFrame:
+    """(block, w, x, first) for each distinct window of each block that is repeated anywhere; first is the place of its first occurrence."""
+
+    def run(t: pa.Table) -> pa.Table:
+        import numpy as np
+
+        _, *place, w, x = _windows(t)
+        order = np.lexsort((*place[::-1], x, w))
+        w, x = w[order], x[order]
+        ends = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (x[1:] != x[:-1]), True])
+        at = lambda i: pa.StructArray.from_arrays([pa.array(p[order[i]]) for p in place], fields=list(PLACE))
+        own = ends[:-1]
+        return pa.table({"block": t.column("block").combine_chunks().take(pa.array(np.zeros(len(own), np.int64))), "w": pa.array(w[own]), "x": pa.array(x[own]), "first": at(own), "last": at(ends[1:] - 1)})
+
+    place = "struct<doc_id: long, h: long, m: int, at: int>"
+    windows = stored(found.groupBy("block").applyInArrow(run, f"block long, w long, x long, first {place}, last {place}"), "windows")
+    firsts = windows.groupBy("w", "x").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first != last").select("w", "x", "first")
+    firsts = stored(firsts, "firsts")  # apart from the join, so that a window of very many blocks can be split there
+    return windows.select("block", "w", "x").join(firsts, ["w", "x"])
+
+
+def counted(found: DataFrame, blocks: int) -> DataFrame:
+    """FOUND rows: runs of repeated windows of very frequent suffixes, by the hashes of their words; adjacent ones are one run."""
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+    kind = pa.schema(list(zip(columns, [pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 4, pa.int64()], strict=True)))
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        import numpy as np
+
+        if not len(t) or not len(known):
+            return kind.empty_table()
+        row, doc_id, h, m, at, w, x = _windows(t)
+        number = {k: i for i, k in enumerate(zip(known.column("w").to_pylist(), known.column("x").to_pylist(), strict=True))}
+        own = np.fromiter((number.get(k, -1) for k in zip(w.tolist(), x.tolist(), strict=True)), np.int64, len(w))
+        first = known.column("first").combine_chunks()
+        first = [first.field(c).to_numpy()[own] for c in ("doc_id", "h", "m", "at")]
+        is_first = np.all([a == b for a, b in zip(first, (doc_id, h, m, at), strict=True)], axis=0)
+        state = np.where(own < 0, 0, np.where(is_first, 2, 1))
+        change = (row[1:] != row[:-1]) | (state[1:] != state[:-1]) | (at[1:] != at[:-1] + 1)
+        a, z = np.flatnonzero(np.r_[True, change] & (state > 0)), np.flatnonzero(np.r_[change, True] & (state > 0))
+        starts, stops = (t.column(c).combine_chunks().flatten() for c in ("starts", "stops"))
+        return pa.Table.from_arrays([pa.array(h[a]), pa.array(m[a]), pa.array(state[a] == 2), pa.array(at[a]), pa.array(at[z]), starts.take(pa.array(a)), stops.take(pa.array(z)), pa.array(first[0][a])], schema=kind)
+
+    block = F.pmod(F.xxhash64("doc_id", "h", "m"), F.lit(blocks)).alias("block")
+    found = stored(found.select(block, "doc_id", "h", "m", "starts", "stops", "places", "hashes"), "blocks")
+    return found.groupBy("block").cogroup(lookups(found).groupBy("block")).applyInArrow(run, FOUND)
 
 
 def _spans(repeated: DataFrame, min_words: int) -> DataFrame:
@@ -357,14 +415,14 @@ def keyed_passages(docs: DataFrame, min_words: int = 50, window: int = 32, size:
     classes = stored(classes, "classes")
     found = stored(suffixes(rows, min_words, window, size), "suffixes")  # range partitioning reads its input twice
     shared = stored(shared_suffixes(found, parts), "shared")
-    crowds = stored(shared.groupBy("suffix").agg(F.count("*").alias("n")).where(F.col("n") > most).select("suffix", F.lit(True).alias("many")), "crowds")
-    marked = shared.join(crowds, "suffix", "left").select("h", "m", F.struct("at", "suffix", F.coalesce("many", F.lit(False)).alias("many")).alias("a"))
+    crowds = stored(shared.groupBy("suffix").agg(F.count("*").alias("n")).where(F.col("n") > most).select("suffix", "n", F.lit(True).alias("many")), "crowds")
+    marked = shared.join(crowds.drop("n"), "suffix", "left").select("h", "m", F.struct("at", "suffix", F.coalesce("many", F.lit(False)).alias("many")).alias("a"))
     chosen = marked.groupBy("h", "m").agg(F.collect_set("a").alias("ats")).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"])
     keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     held = stored(contexts(keyed.join(chosen, ["doc_id", "h", "m"]), min_words, window, size), "contexts")
     repeated = extended(held.where("words IS NOT NULL"), parts, min_words, window)
-    if not crowds.isEmpty():
-        repeated = repeated.unionByName(counted(held.where("words IS NULL")))
+    if many := crowds.agg(F.sum("n")).head()[0]:
+        repeated = repeated.unionByName(counted(held.where("words IS NULL"), max(parts, -(-many // BLOCK))))
     own = _spans(repeated, min_words).join(classes.select("h", "m", F.col("first_id").alias("doc_id")), ["h", "m"]).select("doc_id", "h", "m", "start", "stop", "n_words", "kept", "first_id")
     # Exact copies: the whole text, if long enough.
     long_enough = classes.where((F.col("copies") > 1) & (F.col("n_words") >= min_words)).select("h", "m", "first_id", F.col("n_chars").alias("stop"), "n_words")

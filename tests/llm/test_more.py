@@ -163,6 +163,29 @@ def test_repeats_of_frequent_suffixes(spark, most):
     assert got == want
 
 
+def test_frequent_suffixes_are_looked_up_by_block(spark, monkeypatch):
+    """A row for each document and for each distinct window of a block, not for each window of each suffix; the same spans."""
+    shared = passage(61, 70)
+    texts = [f"{passage(3000 + i, 30)} {shared} {passage(5000 + (i // 2 if i < 40 else i), 30)}" for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows, taken = {}, []
+    plain, joined = suffix_dedup.stored, suffix_dedup.lookups
+
+    def counting(df, name):
+        out = plain(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counting)
+    monkeypatch.setattr(suffix_dedup, "lookups", lambda found: (taken.append((found, out := joined(found))), out)[1])
+    got, want = (sorted(map(tuple, suffix_dedup.repeated_passages(docs, most=most).collect())) for most in (100, 8192))
+    assert got == want and len(got) >= 600
+    assert rows["contexts"] <= rows["shared"]
+    ((found, out),) = taken
+    assert found.count() == 600 and 4 <= found.select("block").distinct().count() < 10
+    assert out.count() == out.select("block", "w", "x").distinct().count() < 2000 < 600 * 21  # 21 windows lie within the passage
+
+
 def test_mixing_of_repeated_ids(spark):
     rng = random.Random(2)
     rows = [(None, passage(i, rng.randint(1, 30)), f"s{i % 2}") for i in range(60)] + [(5, "same words here", "s0")] * 40 + [(6, passage(99, 12), "s1")] * 3 + [(i, passage(i, 20), "s2") for i in range(100, 130)]
