@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import boxed, checkpoint, documents, id_and_text, map_rows, stored, text_of
+from kgloom.llm.common import boxed, checkpoint, documents, id_and_text, let_go, map_rows, stored, text_of
 from kgloom.llm.suffix_dedup import mixed
 from kgloom.operators.components import connected_components
 
@@ -211,6 +211,7 @@ def sketches(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        let_go()
         places = np.stack([np.random.default_rng(t).choice(WIDE, TAKEN, replace=False) for t in range(TABLES)])
         powers, tables, had = 1 << np.arange(TAKEN), np.arange(TABLES) << TAKEN, set()
         longs = pa.list_(pa.int64())

@@ -4,15 +4,17 @@ import hashlib
 import html
 import random
 import re
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, imatch, media, mixing, quality, simhash, suffix_dedup, token_output, url_filter
+from kgloom.llm import bpe, common, imatch, media, mixing, quality, simhash, suffix_dedup, token_output, url_filter
 from kgloom.llm.common import Ranges, shared_dir
 from tests.llm.data import passage
 
@@ -115,6 +117,24 @@ def test_overfull_buckets_lose_no_group(spark):
     assert left == [0, 40, 80]
 
 
+def test_similar_stage_lets_caches_go():
+    """A worker that has run an encoder does not hold its caches through the tasks of the SimHash stage."""
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    gone = weakref.ref(bpe.text_coder(path, public_tokenizers.PATTERN))
+    assert gone().encode("one two") and common._kept
+    batch = pa.RecordBatch.from_pydict({"h": [5], "text": ["a b c d e f"]})
+    assert [b.column(0).to_pylist() for b in simhash.sketches(Rows(), 5, 0.8)(iter([batch]))] == [[5]]
+    assert not common._kept and gone() is None
+
+
 @pytest.mark.parametrize("most", [25, 2048])
 def test_crowded_buckets_lose_no_link(spark, monkeypatch, most):
     """Texts that are all candidates of each other, some of them just within the threshold."""
