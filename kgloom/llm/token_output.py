@@ -78,10 +78,13 @@ class WordEncoder:
         end = spec["model"].get("end_of_word_suffix")
         self.quick = bool(end) and steps == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"]
         self.find = regex.compile(split[0]["pattern"]["Regex"] if self.quick else r"\S+").findall
+        self.letters = all(self.find(f"aé中ж{x}") == ["aé中ж", x] for x in ".,;:!?")  # letters are one word, a mark behind them another
         self.odd = ["Σ", "\x0b", "\x0c", *map(chr, range(28, 32)), "\x85", "\u200b", "\u180e", *(t["content"] for t in spec["added_tokens"])]
         self.common = regex.compile("[!-~¡-ɏЀ-ӿ‐-‧一-龥]*").fullmatch
         self.plain = Tokenizer(self.tokenizer.model)  # for words that are split and normalised already
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # no word comes twice
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith(end or "\0") for i in range(size)])
         self.words, self.chunks = Generations(most), Generations(most * 3 // 2)
 
@@ -97,22 +100,26 @@ class WordEncoder:
         single, parts = {}, {}  # chunks of one word, and of several
         for c in self.chunks.missing(chunks):
             if c.isascii():
-                if c.isalpha():
-                    single[c] = c.lower()
-                    continue
-                ws = self.find(c.lower())
+                w = c.lower()
             elif self.common(c):
-                ws = self.find(unicodedata.normalize("NFC", c).lower())
+                w = unicodedata.normalize("NFC", c).lower()
             else:  # the library's character data may be of another Unicode version
                 self.chunks.now[c] = self._library(c)
                 continue
+            if self.letters and w.isalpha():
+                single[c] = w
+                continue
+            if self.letters and w[-1] in ".,;:!?" and w[:-1].isalpha():
+                parts[c] = [w[:-1], w[-1]]
+                continue
+            ws = self.find(w)
             if len(ws) == 1:
                 single[c] = ws[0]
             else:
                 parts[c] = ws
         new = list(self.words.missing(set(single.values()).union(*parts.values())))
         if new:
-            ids = np.array(self.plain.encode(new, is_pretokenized=True, add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.plain.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(new):
                 data, ends = ids.tobytes(), (stops * int(self.kind[2:])).tolist()

@@ -299,6 +299,19 @@ def test_word_encoder_of_small_caches():
     assert memo.missing({"a", "c"}) == {"c"} and memo.now == {"a": 1} and memo.old == {"a": 1, "b": 2}
 
 
+def test_word_encoder_splits_plain_words_itself():
+    """Words of letters, alone or before one mark, need no pattern; what they give is what the library gives."""
+    encoder = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+    def find(chunk):
+        raise AssertionError(chunk)
+
+    encoder.find = find
+    text = "Überall, Слово. word; été! 中文? Straße: plain"
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == want
+
+
 def test_pages_hold_whole_texts(spark):
     texts = ["", "one", "a\nb\n\nc <b>&amp; d</b>\n\x0b e\u00a0f", "<figure><figcaption>x\n</figure>\n" + passage(3, 400), passage(4, 900).replace(" ", "\n", 30), "]]>--><!-- \n <script>\nx"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (3, texts[1])], "doc_id long, text string").repartition(3)
