@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom import queries
-from kgloom.operators import filters, vectors
+from kgloom.operators import filters, merge, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +61,16 @@ def test_coverage_of_long_lists(spark):
     long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))).alias("golden"), F.transform(F.sequence(F.lit(2), F.lit(n), F.lit(2)), lambda x: x.cast("string")).alias("b"), F.array(F.lit("7")).alias("a"))
     r = filters.coverage_stats(long, "golden", "b", "a").head()
     assert (r["n_golden"], r["covered_before"], r["covered_after"], r["lost"], r["verdict"]) == (n, n // 2, 1, n // 2 - 1, "FAIL")
+
+
+def test_lists_of_merged_graphs_are_streamed(spark):
+    held = [(q, c, f"s{i % 7}", f"o{i:05d}", q * 10) for q, c, n in ((1, "a", 25_000), (1, "b", 1), (2, "a", 3), (2, "c", 1)) for i in range(n)]
+    rows = spark.createDataFrame(held, "q int, c string, s string, o string, x int").repartition(4)
+    found = merge._listed(rows, ["q", "c"], ["s", "o"], "items", ["x"])
+    want = {}
+    for q, c, s, o, x in held:
+        want.setdefault((q, c, x), []).append((s, o))
+    assert {(r["q"], r["c"], r["x"]): [tuple(i) for i in r["items"]] for r in found.collect()} == {k: sorted(v) for k, v in want.items()}
+    plan = merge.merged(spark.createDataFrame([("q", "g", [("a", "p", "b")], [("a", "A", True)], 0.5, 1)], "question_id string, graph_id string, triplets array<struct<s: string, p: string, o: string>>, path array<struct<uri: string, label: string, is_node: boolean>>, probability double, path_depth int"))
+    assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r["triples"][0]) for r in plan.collect()] == [("A", "a", "p", "p", "b", "b")]
