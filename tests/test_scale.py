@@ -5,8 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom import queries
-from kgloom.operators import filters, merge, vectors
+from kgloom import queries, testbed
+from kgloom.operators import evaluate, filters, merge, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,26 @@ def test_lists_of_merged_graphs_are_streamed(spark):
     plan = merge.merged(spark.createDataFrame([("q", "g", [("a", "p", "b")], [("a", "A", True)], 0.5, 1)], "question_id string, graph_id string, triplets array<struct<s: string, p: string, o: string>>, path array<struct<uri: string, label: string, is_node: boolean>>, probability double, path_depth int"))
     assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r["triples"][0]) for r in plan.collect()] == [("A", "a", "p", "p", "b", "b")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_sets_are_compared_without_a_join(spark):
+    golden = spark.createDataFrame([("1", "a"), ("1", "a"), ("1", "b"), ("1", None), ("2", "a")], "question_id string, row string")
+    generated = spark.createDataFrame([("1", "a"), ("1", "c"), ("1", None), ("3", "a")], "question_id string, row string")
+    status = spark.createDataFrame([(q, True, True) for q in "1234"], "question_id string, golden_ok boolean, generated_ok boolean")
+    found = evaluate.compare_rows(golden, generated, status)
+    assert {r["question_id"]: (r["state"], r["golden_count"], r["generated_count"], r["precision"], r["exact_match"]) for r in found.collect()} == {
+        "1": ("correct_1", 3, 3, 0.3333, False), "2": ("wrong_1", 1, 0, 0.0, None), "3": ("correct_0", 0, 1, 1.0, None), "4": ("correct_0", 0, 0, 1.0, None)}
+    assert "FullOuter" not in _plan(found)
+
+
+def test_graph_tells_keys_apart_before_texts(spark):
+    rows = testbed.build(spark, SF)
+    line = queries.table(spark, SF, "lineitem")
+    for p, keys in (("containsPart", ("l_orderkey", "l_partkey")), ("suppliedBy", ("l_partkey", "l_suppkey"))):
+        part = rows.where(F.col("p") == testbed.SC + p)
+        assert part.count() == part.distinct().count() == line.select(*keys).distinct().count()
+        assert f"Aggregate [{keys[0]}#" in _plan(part)
