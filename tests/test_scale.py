@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgloom import queries, testbed
-from kgloom.operators import evaluate, filters, merge, vectors
+from kgloom.operators import evaluate, filters, merge, neighbors, vectors
+from tests.hand import EX, hand_graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +98,15 @@ def test_graph_tells_keys_apart_before_texts(spark):
         part = rows.where(F.col("p") == testbed.SC + p)
         assert part.count() == part.distinct().count() == line.select(*keys).distinct().count()
         assert f"Aggregate [{keys[0]}#" in _plan(part)
+
+
+def test_descriptions_leave_other_triples_in_place(spark):
+    kg = hand_graph(spark)
+    lone = spark.createDataFrame([(EX + "z", "http://other/p", "v", "literal", None, None)], "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    kg = type(kg)(kg.triples.unionByName(lone))
+    uris = spark.createDataFrame([(EX + "z",), (EX + "a",), (EX + "none",)], "uri string")
+    found = neighbors.relation_metadata(kg, uris)
+    assert sorted((r["relation"], r["type"] is None, r["labels"], r["comments"]) for r in found.collect()) == [(EX + "a", False, ["Ann Lee"], []), (EX + "z", True, [], [])]
+    described = neighbors.entity_descriptions(kg, uris)
+    assert dict(map(tuple, described.collect())) == {EX + "a": "Person: Ann Lee", EX + "z": "Entity: z", EX + "none": "none"}
+    assert "p#" in _plan(found) and all(" IN (" in _plan(x) or "INSET" in _plan(x) for x in (found, described))
